@@ -46,3 +46,9 @@ class Workspace:
 def slots(spark: SparkSession) -> int:
     """The number of partitions for work whose size is bound by CPU rather than bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are slots, for work bound by CPU; left alone if it has them already."""
+    n = slots(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
