@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from bitnear.functions.bits import hamming
 from bitnear.llm.components import consolidate_matches
+from bitnear.llm.fm_index import leaked_spans, removal_spans
 from bitnear.llm.incremental import repeated_rows
+from bitnear.llm.mixing import Mix, mix_sources, quality_weight
 from bitnear.llm.rp_forest import nearest_in_balls
+from bitnear.llm.shared_spans import shared_share, shared_spans
 from bitnear.llm.top_bands import top_in_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +66,59 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     known = table(spark, at, "int8tmp_2").select("a")
     rows = table(spark, at, "test_batch_join")
     return repeated_rows(rows, "hash", "batch_no", "id", known).select(F.col("key").alias("id"))
+
+
+def _leaks(spark: SparkSession, at: str) -> DataFrame:
+    return leaked_spans(table(spark, at, "documents"), "doc_id", "text", table(spark, at, "eval_items"), "item_id", "text", 12)
+
+
+_RUNS = (
+    "SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS run "
+    "FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 12"
+)
+
+
+@query(f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format(key='doc_id', table='documents')}) JOIN ({_RUNS.format(key='item_id', table='eval_items')}) USING (run)")
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    return _leaks(spark, at).select("doc_id", "item_id").distinct()
+
+
+@query()
+def p6_removal_spans(spark: SparkSession, at: str) -> DataFrame:
+    return removal_spans(_leaks(spark, at))
+
+
+def _mix(spark: SparkSession, at: str) -> Mix:
+    documents = table(spark, at, "documents").select("doc_id", "source", "text", "rating")
+    return mix_sources(documents, "doc_id", "source", "text", quality_weight("text", "rating"), table(spark, at, "mix_targets"))
+
+
+@query()
+def p7_mix(spark: SparkSession, at: str) -> DataFrame:
+    return _mix(spark, at).rows.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def p7_shares(spark: SparkSession, at: str) -> DataFrame:
+    return _mix(spark, at).shares
+
+
+_WINDOWS = "SELECT doc_id, n_chars, unnest(range(1, length(text) - 98)) AS i, text FROM documents WHERE length(text) >= 100"
+_SHARED = (
+    f"SELECT w.doc_id, w.i FROM (SELECT doc_id, i, md5(substring(text, i, 100)) AS s FROM ({_WINDOWS})) w "
+    f"JOIN (SELECT md5(substring(text, i, 100)) AS s FROM ({_WINDOWS}) GROUP BY s HAVING min(doc_id) < max(doc_id)) USING (s)"
+)
+
+
+@query(f"SELECT DISTINCT doc_id FROM ({_SHARED})")
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return shared_spans(table(spark, at, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id")).distinct()
+
+
+@query(
+    "SELECT doc_id, length(text) AS chars, coalesce(shared, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared, 0) / length(text) ELSE 0.0 END AS share "
+    f"FROM documents LEFT JOIN (SELECT doc_id, sum(least(100, coalesce(next - i, 100)))::BIGINT AS shared FROM "
+    f"(SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM ({_SHARED})) GROUP BY doc_id) USING (doc_id)"
+)
+def p8_shared_share(spark: SparkSession, at: str) -> DataFrame:
+    return shared_share(table(spark, at, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
