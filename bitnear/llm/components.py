@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bitnear.runtime import Workspace
 
 #: Rate of the exponential shifts: larger rates give smaller clusters and more links between them.
-BETA = 0.4
+BETA = 0.1
 #: Rounds that clusters grow at each level.
 ROUNDS = 3
 
