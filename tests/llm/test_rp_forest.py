@@ -1,0 +1,65 @@
+import random
+
+import numpy as np
+import pytest
+
+from bitnear.llm.rp_forest import fit_forest, leaves, nearest_in_balls, pop_all
+
+
+def bits(a, b):
+    return ((a ^ b) & (2**64 - 1)).bit_count()
+
+
+def near_by(rng, h, n):
+    for b in rng.sample(range(63), n):
+        h ^= 1 << b
+    return h
+
+
+def data(rng):
+    stored = [rng.getrandbits(64) - 2**63 for _ in range(400)]
+    stored += [near_by(rng, stored[i % 20], rng.randrange(9)) for i in range(300)] + list(range(200)) + [stored[0]] * 250
+    return [(i * 3, h) for i, h in enumerate(stored)] + [(9001, None), (None, 5)]
+
+
+def test_the_queue_gives_up_every_leaf_within_the_radius():
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 3000)
+    forest = fit_forest(hashes[:1000], len(hashes), 16)
+    assert len(forest) > 2 and all((t.coordinate >= 0).any() for t in forest)
+    cells = [{int(h): (t << 32) + int(c) for h, c in zip(hashes, leaves(tree, hashes), strict=True)} for t, tree in enumerate(forest)]
+    for r in (0, 3, 7, 12):
+        flips = np.bitwise_xor.reduce(np.int64(1) << rng.permuted(np.tile(np.arange(63), (50, 1)), axis=1)[:, :r], axis=1) if r else np.zeros(50, np.int64)
+        centers = hashes[:50] ^ flips
+        popped = [set() for _ in centers]
+        for query, cell in pop_all(forest, centers, np.full(50, r)):
+            for q, c in zip(query.tolist(), cell.tolist(), strict=True):
+                assert c not in popped[q]
+                popped[q].add(c)
+        assert all(any(c[int(h)] in own for c in cells) for h, own in zip(hashes[:50], popped, strict=True))
+    assert not list(pop_all(forest, hashes[:2], np.array([-1, -5])))
+
+
+@pytest.mark.parametrize("sample", [50, 100_000])
+def test_same_as_brute_force(spark, rows, sample):
+    rng = random.Random(4)
+    stored = data(rng)
+    balls = [(near_by(rng, stored[i][1], rng.randrange(6)), rng.randrange(12)) for i in range(150)]
+    balls += [(7, 3), (7, 3), (7, 64), (7, 100), (7, -1), (None, 3), (7, None), (stored[0][1], 0), (-(2**63), 2), (2**63 - 1, 2**63 - 1)]
+    want = set()
+    for c, d in set(balls):
+        if c is not None and d is not None:
+            met = sorted((bits(c, h), i) for i, h in stored if i is not None and h is not None and bits(c, h) <= d)
+            want |= {(c, min(d, 64), i, n) for n, i in met[:5]}
+    left = spark.createDataFrame([(c, d, 1, 2) for c, d in balls], "c bigint, d bigint, id int, hash int")
+    right = spark.createDataFrame([(i, h, "x") for i, h in stored], "id bigint, hash bigint, center string")
+    got = nearest_in_balls(left, "c", "d", right, "hash", "id", 5, leaf_rows=4, sample_rows=sample)
+    assert rows(got.select("center", "distance", "id", "hamming_distance")) == sorted(want, key=repr)
+
+
+def test_empty_tables(spark):
+    left = spark.createDataFrame([(1, 64)], "c bigint, d bigint")
+    right = spark.createDataFrame([(1, 1)], "id bigint, hash bigint")
+    assert nearest_in_balls(left, "c", "d", right, "hash", "id", 5).count() == 1
+    assert nearest_in_balls(left.where("false"), "c", "d", right, "hash", "id", 5).count() == 0
+    assert nearest_in_balls(left, "c", "d", right.where("false"), "hash", "id", 5).count() == 0
