@@ -33,7 +33,7 @@ def similarity_join(
     hash; repeated rows on either side keep their multiplicity; empty tables are fine. distance=None raises.
 
     strategy: 'scan' broadcasts the smaller side, in blocks of a fixed size, and compares everything; any distance and
-    join type. 'bands' joins on equal parts of the hash (distance + 1 parts) over the distinct hashes of either side and
+    join type (left, semi and anti joins with a large right side compare distinct hashes only). 'bands' joins on equal parts of the hash (distance + 1 parts) over the distinct hashes of either side and
     verifies; distances 0..64 and inner, left, semi and anti joins. 'auto' chooses by counts. All give the same rows.
     """
     if distance is None:
@@ -54,8 +54,17 @@ def similarity_join(
         strategy = "scan" if fixed is None or how in OUTER else selectivity.choose(left, right, left_on, right_on, fixed)
     if strategy == "scan" or fixed is not None and fixed >= 64:
         limit = F.lit(fixed) if fixed is not None else F.col(names[distance])
-        on = within(F.col(left_on), F.col(right_on), limit)
-        return _scan(left, right, _and(on, condition, names), how)
+        within_limit = lambda a, b, d: within(F.col(a), F.col(b), limit if fixed is not None else F.col(d))
+        on = within_limit(left_on, right_on, names.get(distance))
+        if how not in LEFT or right.limit(selectivity.BROADCAST_ROWS + 1).count() <= selectivity.BROADCAST_ROWS:
+            return _scan(left, right, _and(on, condition, names), how)
+        own = [right_on] if fixed is not None else [right_on, names[distance]]
+        x = left.where(F.col(left_on).isNotNull()).select(F.col(left_on).alias("__a")).distinct()
+        y = right.dropna(subset=own).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(own)]).distinct()
+        pairs = _scan(x, y, within_limit("__a", "__0", "__1"), "inner")
+        same = reduce(Column.__and__, [F.col(c) == F.col(f"__{i}") for i, c in enumerate(own)])
+        near = right.join(pairs, same).select(*right.columns, "__a")
+        return left.join(near, _and(F.col(left_on) == F.col("__a"), condition, names), how).drop("__a")
     if strategy != "bands" or fixed is None or how not in ("inner", *LEFT):
         raise ValueError(f"strategy {strategy} can't serve distance {distance} in a {how} join")
     return _banded(left, right, left_on, right_on, fixed, how, condition, names)
@@ -66,22 +75,23 @@ def _and(on: Column, condition, names: dict[str, str]) -> Column:
 
 
 def _scan(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
-    """A broadcast nested loop join. A side beyond BROADCAST_ROWS is cut into blocks, each broadcast on its own."""
+    """A broadcast nested loop join. Where both sides are beyond BROADCAST_ROWS, the smaller goes in blocks of that size.
+
+    Right and full joins are left to Spark, which can only broadcast a side whole.
+    """
     if how not in ("inner", *LEFT):
         return left.join(right, on, how)
     n = right.count()
     if n <= selectivity.BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
     m = left.count()
-    if how == "inner" and m <= selectivity.BROADCAST_ROWS:
+    if m <= selectivity.BROADCAST_ROWS:
         return F.broadcast(left).join(right, on, how)
     blocks = -(-min(n, m) // selectivity.BROADCAST_ROWS) * 2  # half full on average, so that uneven blocks fit too
-    if how == "inner":
-        small, other = (right, left) if n <= m else (left, right)
-        block = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
-        parts = [other.join(F.broadcast(small.where(block == i)), on).select(*left.columns, *right.columns) for i in range(blocks)]
-        return reduce(DataFrame.unionAll, parts)
-    return left.join(right, on, how)
+    small, other = (right, left) if n <= m else (left, right)
+    block = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
+    parts = [other.join(F.broadcast(small.where(block == i)), on).select(*left.columns, *right.columns) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def matching_hashes(left: DataFrame, right: DataFrame, a: str, b: str, distance: int) -> DataFrame:

@@ -16,9 +16,8 @@ PIVOT_SAMPLE, PIVOT_CANDIDATES = 4096, 32
 
 def choose_pivot(df: DataFrame, column: str, seed: int = 7) -> int | None:
     """The candidate that spreads a bounded sample best: many distinct distances, no large one. None without hashes."""
-    by = F.xxhash64(F.col(column), F.lit(seed))
-    sample = df.where(F.col(column).isNotNull()).select(F.col(column).alias("h")).distinct()
-    sample = [r["h"] for r in sample.orderBy(F.xxhash64("h", F.lit(seed)), "h").limit(PIVOT_SAMPLE).collect()] if by is not None else []
+    hashes = df.where(F.col(column).isNotNull()).select(F.col(column).alias("h")).distinct()
+    sample = [r["h"] for r in hashes.orderBy(F.xxhash64("h", F.lit(seed)), "h").limit(PIVOT_SAMPLE).collect()]
     best = None
     for pivot in sample[:PIVOT_CANDIDATES]:
         counts: dict[int, int] = {}

@@ -42,12 +42,14 @@ def test_strategies_agree_with_brute_force(spark, rows, distance, how):
         assert rows(got) == sorted(want, key=repr), strategy
 
 
-def test_scan_in_blocks(spark, rows, monkeypatch):
-    left = spark.range(40).withColumnRenamed("id", "a")
-    right = spark.range(30).withColumnRenamed("id", "b")
-    want = rows(similarity_join(left, right, "a", "b", 1, strategy="scan"))
-    monkeypatch.setattr(selectivity, "BROADCAST_ROWS", 8)
-    assert rows(similarity_join(left, right, "a", "b", 1, strategy="scan")) == want
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("distance", [1, "d"])
+def test_scan_in_blocks(spark, rows, monkeypatch, how, distance):
+    left = spark.createDataFrame([(i,) for i in [*range(60), 3, 3, None]], "a bigint")
+    right = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in [*range(50), 3]] + [(None, 2)], "b bigint, d bigint") if distance == "d" else spark.range(30).withColumnRenamed("id", "b")
+    want = rows(similarity_join(left, right, "a", "b", distance, how, "scan"))
+    monkeypatch.setattr(selectivity, "BROADCAST_ROWS", 16)
+    assert rows(similarity_join(left, right, "a", "b", distance, how, "scan")) == want
 
 
 def test_distance_of_each_row_and_conditions(spark, rows):
