@@ -17,12 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
+_MADE: list["Workspace"] = []
+
+
 class Workspace:
-    """A private folder under the shared one. A table written here survives the loss of any executor and cuts lineage."""
+    """A private folder under the shared one. A table written here survives the loss of any executor and cuts lineage.
+
+    Results of operators read from it, so it stays until clear() is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write as Parquet, and give back the table that reads it (with the same schema, also where it has no rows)."""
@@ -43,6 +50,12 @@ class Workspace:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear() -> None:
+    """Remove the folders of all operators run in this process, once their results have been read or written elsewhere."""
+    while _MADE:
+        _MADE.pop().drop()
+
+
 def slots(spark: SparkSession) -> int:
     """The number of partitions for work whose size is bound by CPU rather than bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
