@@ -38,7 +38,7 @@ def top_in_groups(rows: DataFrame, group: str, n: int, badness: Column, order: l
     work = Workspace(rows.sparkSession, "top-bands")
     columns = rows.columns
     kept = rows.dropna().withColumn("__badness", badness.cast("int")).where(F.col("__badness").isNotNull())
-    counts = kept.groupBy("__badness").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(group).alias("g")).collect()  # `buckets` rows at most
+    counts = kept.groupBy("__badness").agg(F.count(F.lit(1)).alias("n")).collect()  # `buckets` rows at most
     assert len(counts) <= buckets, "badness has more values than buckets"
     groups = kept.agg(F.approx_count_distinct(group)).first()[0]
     borders = band_borders([(r["__badness"], r["n"]) for r in counts], n * groups)
