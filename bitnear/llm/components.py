@@ -3,8 +3,9 @@
 Each level of the recursion draws an exponential shift for every vertex and lets clusters grow from shifted start times:
 a vertex joins the cluster that reaches it first, counting one step a link. Clusters then contract to super-vertices,
 the links between clusters (a fraction that the rate of the exponential sets) are recursed on, and the assignments of the
-levels are composed. A round is one join of labels with links and one minimum per vertex, whose map-side combine keeps
-a vertex with very many links from weighing on one task; the side that is read by the links is split by AQE.
+levels are composed. A round is one join of labels with links and one minimum per vertex, with map-side combine. Links of
+vertices that hold a large part of all links are not shuffled for the join: those vertices are few (found by a sketch), so
+their labels are broadcast.
 
 A level grows for a fixed number of rounds. A vertex that a wave has not reached by then keeps the label it has, which
 names a cluster it is linked to, so the result stays exact; only the number of levels may change.
@@ -13,6 +14,7 @@ names a cluster it is linked to, so the result stays exact; only the number of l
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitnear.operators.skew import heavy_keys, skew_join
 from bitnear.runtime import Workspace
 
 #: Rate of the exponential shifts: larger rates give smaller clusters and more links between them.
@@ -27,13 +29,23 @@ def _shift(vertex: str, level: int) -> Column:
     return F.log(unit) / BETA
 
 
-def _grow(links: DataFrame, level: int) -> DataFrame:
+def _lookup(links: DataFrame, end: str, labels: DataFrame, hot: list[int]) -> DataFrame:
+    """links join labels on links.end = labels.vertex. hot: a bounded list of the vertices with very many links."""
+    on = F.col(end) == F.col("vertex")
+    if not hot:
+        return links.join(labels, on).drop("vertex")
+    many = F.broadcast(labels.where(F.col("vertex").isin(hot)))
+    return links.where(F.col(end).isin(hot)).join(many, on).unionByName(links.where(~F.col(end).isin(hot)).join(labels, on)).drop("vertex")
+
+
+def _grow(links: DataFrame, level: int, hot: list[int], work: Workspace) -> DataFrame:
     """(vertex, center) for every vertex of links (src, dst), which hold either direction."""
     labels = links.select(F.col("src").alias("vertex")).distinct().select("vertex", _shift("vertex", level).alias("time"), F.col("vertex").alias("center"))
-    for _ in range(ROUNDS):
-        sent = links.join(labels, F.col("src") == F.col("vertex")).select(F.col("dst").alias("vertex"), (F.col("time") + 1).alias("time"), "center")
+    for i in range(ROUNDS):
+        sent = _lookup(links, "src", labels, hot).select(F.col("dst").alias("vertex"), (F.col("time") + 1).alias("time"), "center")
         # times of different centres are equal only by a clash of 52 random bits; either choice is right then
         labels = labels.unionByName(sent).groupBy("vertex").agg(F.min("time").alias("time"), F.min_by("center", "time").alias("center"))
+        labels = work.write(labels, f"labels-{level}-{i}")
     return labels.select("vertex", "center")
 
 
@@ -51,25 +63,22 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     levels: list[DataFrame] = []
     while not links.isEmpty():
         i = len(levels)
-        levels.append(work.write(_grow(links, i), f"labels-{i}"))
-        ends = levels[-1]
-        between = (
-            links.join(ends.select(F.col("vertex").alias("src"), F.col("center").alias("x")), "src")
-            .join(ends.select(F.col("vertex").alias("dst"), F.col("center").alias("y")), "dst")
-            .where(F.col("x") != F.col("y"))
-            .select(F.col("x").alias("src"), F.col("y").alias("dst"))
-            .distinct()
-        )
-        links = work.write(between, f"links-{i + 1}")
+        hot = [r["src"] for r in heavy_keys(links, "src").collect()]  # at most 2 / HEAVY_SHARE
+        levels.append(_grow(links, i, hot, work))
+        between = _lookup(links, "src", levels[-1].withColumnRenamed("center", "x"), hot)
+        between = _lookup(between, "dst", levels[-1].withColumnRenamed("center", "y"), hot).where(F.col("x") != F.col("y"))
+        links = work.write(between.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct(), f"links-{i + 1}")
         work.drop(f"links-{i}")
+        for j in range(ROUNDS - 1):
+            work.drop(f"labels-{i}-{j}")
     if not levels:
         return alone.select("vertex", F.col("vertex").alias("group"))
     roots = levels[-1]
     for i in range(len(levels) - 2, -1, -1):
         up = roots.select(F.col("vertex").alias("center"), F.col("center").alias("root"))
-        roots = work.write(levels[i].join(up, "center", "left").select("vertex", F.coalesce("root", "center").alias("center")), f"roots-{i}")
-    least = roots.groupBy("center").agg(F.min("vertex").alias("group"))
-    groups = roots.join(least, "center").select("vertex", "group")
+        roots = work.write(skew_join(levels[i], up, "center", "left").select("vertex", F.coalesce("root", "center").alias("center")), f"roots-{i}")
+    least = work.write(roots.groupBy("center").agg(F.min("vertex").alias("group")), "least")
+    groups = skew_join(roots, least, "center").select("vertex", "group")
     return alone.join(groups, "vertex", "left").select("vertex", F.coalesce("group", "vertex").alias("group"))
 
 
@@ -88,8 +97,8 @@ def consolidate_matches(matches: DataFrame, hashes: tuple[str, str], record: str
     least = F.least("x", "y")  # skips nulls
     first = work.write(rows.where(F.col("record").isNotNull()).groupBy("record").agg(F.min(least).alias("hash")), "first")
     through = rows.where(F.col("record").isNotNull()).select("record", F.explode(F.array("x", "y")).alias("x")).where(F.col("x").isNotNull()).distinct()
-    through = through.join(first, "record").where(F.col("x") != F.col("hash")).select("x", F.col("hash").alias("y"))
+    through = skew_join(work.write(through, "through"), first, "record").where(F.col("x") != F.col("hash")).select("x", F.col("hash").alias("y"))
     direct = rows.where(F.col("x") != F.col("y")).select("x", "y")
-    groups = connected_groups(work.write(direct.unionByName(through).distinct(), "links"), "x", "y")
-    named = first.join(groups.withColumnRenamed("vertex", "hash"), "hash", "left")
+    groups = work.write(connected_groups(work.write(direct.unionByName(through).distinct(), "links"), "x", "y"), "groups")
+    named = skew_join(first, groups.withColumnRenamed("vertex", "hash"), "hash", "left")
     return named.select("record", F.coalesce("group", "hash").alias("group_hash"))
