@@ -10,7 +10,7 @@ from bitnear.llm.components import consolidate_matches
 from bitnear.llm.fm_index import leaked_spans, removal_spans
 from bitnear.llm.incremental import repeated_rows
 from bitnear.llm.mixing import Mix, mix_sources, quality_weight
-from bitnear.llm.rp_forest import nearest_in_balls
+from bitnear.llm.rp_forest import nearest_by_area
 from bitnear.llm.shared_spans import shared_share, shared_spans
 from bitnear.llm.top_bands import top_in_groups
 
@@ -40,8 +40,8 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
 )
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
     balls = table(spark, at, "bktree_area").select("area_id", "center", "distance").where(F.col("distance").between(0, 8))
-    near = nearest_in_balls(balls, "center", "distance", table(spark, at, "test_batch_join"), "hash", "id", 5)
-    return balls.join(near, ["center", "distance"]).select("area_id", "id")
+    near = nearest_by_area(balls, "area_id", "center", "distance", table(spark, at, "test_batch_join"), "hash", "id", 5)
+    return near.select(F.col("key").alias("area_id"), "id")
 
 
 @query()

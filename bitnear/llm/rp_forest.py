@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitnear.operators.skew import skew_join
 from bitnear.runtime import Workspace, slots
 
 #: Hashes that the splits are fitted on, at most; 1 MB at the driver. All hashes are indexed.
@@ -183,4 +184,17 @@ def nearest_in_balls(
     # a hash met in several trees has the same rank each time; the limit per group again comes before the shuffle
     ranks = Window.partitionBy("center", "distance").orderBy("hamming_distance", "id")
     best = found.withColumn("place", F.dense_rank().over(ranks)).where(F.col("place") <= k)
-    return best.groupBy("center", "distance", "id").agg(F.min("hamming_distance").alias("hamming_distance"))
+    return work.write(best.groupBy("center", "distance", "id").agg(F.min("hamming_distance").alias("hamming_distance")), "nearest")
+
+
+def nearest_by_area(balls: DataFrame, key: str, center: str, distance: str, stored: DataFrame, hash_column: str, id_column: str, k: int) -> DataFrame:
+    """(key, id, hamming_distance): nearest_in_balls for every row of balls, also where many rows name the same ball.
+
+    Each different ball is searched once; a ball with very many rows is joined by broadcast of its k results.
+    """
+    own = balls.select(F.col(key).alias("key"), F.col(center).cast("bigint").alias("center"), F.col(distance).cast("bigint").alias("distance"))
+    own = own.where(F.col("center").isNotNull() & (F.col("distance") >= 0)).withColumn("distance", F.least("distance", F.lit(64)))
+    near = nearest_in_balls(own, "center", "distance", stored, hash_column, id_column, k)
+    ball = F.concat_ws(":", "center", "distance").alias("ball")
+    joined = skew_join(own.select("key", ball), near.select(ball, "id", "hamming_distance"), "ball")
+    return joined.select("key", "id", "hamming_distance")

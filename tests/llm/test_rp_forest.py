@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from bitnear.llm.rp_forest import fit_forest, leaves, nearest_in_balls, pop_all
+from bitnear.llm.rp_forest import fit_forest, leaves, nearest_by_area, nearest_in_balls, pop_all
 
 
 def bits(a, b):
@@ -63,3 +63,14 @@ def test_empty_tables(spark):
     assert nearest_in_balls(left, "c", "d", right, "hash", "id", 5).count() == 1
     assert nearest_in_balls(left.where("false"), "c", "d", right, "hash", "id", 5).count() == 0
     assert nearest_in_balls(left, "c", "d", right.where("false"), "hash", "id", 5).count() == 0
+
+
+def test_many_rows_may_name_one_ball(spark, rows):
+    areas = [(i, 7, 3) for i in range(300)] + [(1000 + i, i, 0) for i in range(100)] + [(2000, None, 1), (2001, 7, -1), (2002, 7, None), (2003, 6, 99)]
+    left = spark.createDataFrame(areas, "id bigint, center bigint, ball bigint")
+    right = spark.createDataFrame([(i, i % 50, 1) for i in range(200)], "id bigint, hash bigint, key int")
+    want = []
+    for a, c, d in areas:
+        if c is not None and d is not None:
+            want += [(a, i, n) for n, i in sorted((bits(c, i % 50), i) for i in range(200) if bits(c, i % 50) <= d)[:4]]
+    assert rows(nearest_by_area(left, "id", "center", "ball", right, "hash", "id", 4)) == sorted(want, key=repr)
