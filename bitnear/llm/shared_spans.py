@@ -30,7 +30,7 @@ PREFIX = 32
 #: Characters of text taken up at once; longer texts are cut, with an overlap of span - 1.
 PIECE_CHARS = 500_000
 #: Characters of the segments of one group of prefixes.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 150_000
 #: Different segments of one prefix that go into a tree; beyond, the prefix is lengthened.
 PREFIX_SEGMENTS = 2_000
 # Odd multipliers of the rolling hash, and of the last mix (those of MurmurHash3's 64-bit finaliser).
