@@ -13,6 +13,8 @@ of k characters is the partition.
    maximal repeats. A prefix too frequent for one task's memory is lengthened to the full `span`, where a suffix is a
    leaf by itself and its records are counted by an aggregation with map-side combine.
 4. The spans found are taken back to all records that have the segment, and merged there.
+
+Joins on a prefix, a segment or a leaf that a large part of all records may share are skew joins.
 """
 
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitnear.llm.suffixes import common_prefix, suffix_ranks
+from bitnear.operators.skew import skew_join
 from bitnear.runtime import Workspace, spread
 
 #: Characters of the first prefix (a power of two).
@@ -166,7 +169,7 @@ def shared_spans(documents: DataFrame, key: str, text: str, span: int = 100) ->
     texts = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") >= span))
     runs = work.write(runs_of(spread(texts), span), "runs")
     common = runs.groupBy("prefix").agg(F.min("key").alias("x"), F.max("key").alias("y")).where(F.col("x") < F.col("y")).select("prefix")
-    lists = runs.join(common, "prefix", "left_semi").groupBy("key").agg(F.collect_list(F.struct("first", "last", "prefix")).alias("runs"))
+    lists = skew_join(runs, work.write(common, "common"), "prefix", "left_semi").groupBy("key").agg(F.collect_list(F.struct("first", "last", "prefix")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,6 +191,7 @@ def shared_spans(documents: DataFrame, key: str, text: str, span: int = 100) ->
     in_trees = F.col("n") <= PREFIX_SEGMENTS
     chars = sizes.where(in_trees).agg(F.sum("chars")).first()[0] or 0
     groups = max(1, -(-chars // GROUP_CHARS))
+    repeated = work.write(skew_join(different, sizes.select("prefix", "n"), "prefix"), "repeated")
     found = "prefix bigint, segment_id bigint, first bigint, last bigint"
 
     def trees(batch: pa.Table) -> pa.Table:
@@ -195,21 +199,21 @@ def shared_spans(documents: DataFrame, key: str, text: str, span: int = 100) ->
         which, first, last = _ranges(*tree_spans(batch.column("segment").to_pylist(), least, most, span))
         return pa.table({"prefix": prefix[which], "segment_id": ids[which], "first": first, "last": last})
 
-    usual = different.join(sizes.where(in_trees).select("prefix"), "prefix", "left_semi")
-    usual = usual.withColumn("group", F.pmod(F.xxhash64("prefix", F.lit(1)), F.lit(groups)))
+    usual = repeated.where(in_trees).withColumn("group", F.pmod(F.xxhash64("prefix", F.lit(1)), F.lit(groups)))
     usual = usual.groupBy("group").applyInArrow(trees, found)
 
-    windows = different.join(sizes.where(~in_trees).select("prefix"), "prefix", "left_semi")
     at = F.explode(F.sequence(F.lit(0), F.length("segment") - span)).alias("at")
-    windows = windows.select("prefix", "segment_id", "least", "most", "segment", at)
+    windows = repeated.where(~in_trees).select("prefix", "segment_id", "least", "most", "segment", at)
     suffix = F.substring("segment", F.col("at") + 1, F.lit(span))
-    windows = windows.select("prefix", "segment_id", "least", "most", F.xxhash64(suffix).alias("a"), F.xxhash64(suffix, F.lit(1)).alias("b"), F.col("at").cast("bigint").alias("at"))
-    leaves = windows.groupBy("prefix", "a", "b").agg(F.min("least").alias("x"), F.max("most").alias("y")).where(F.col("x") < F.col("y"))
-    frequent = windows.join(leaves.select("prefix", "a", "b"), ["prefix", "a", "b"], "left_semi")
+    windows = windows.select("prefix", "segment_id", "least", "most", F.xxhash64(suffix).alias("leaf"), F.xxhash64(suffix, F.lit(1)).alias("check"), F.col("at").cast("bigint").alias("at"))
+    windows = work.write(windows, "windows")
+    leaves = windows.groupBy("prefix", "leaf", "check").agg(F.min("least").alias("x"), F.max("most").alias("y")).where(F.col("x") < F.col("y"))
+    frequent = skew_join(windows, work.write(leaves.select("leaf", "prefix", "check"), "leaves"), "leaf")
+    frequent = frequent.where((F.col("prefix") == F.col("prefix_right")) & (F.col("check") == F.col("check_right")))
     frequent = frequent.select("prefix", "segment_id", F.col("at").alias("first"), F.col("at").alias("last"))
 
     spans = work.write(usual.unionByName(frequent), "spans").withColumnRenamed("first", "from").withColumnRenamed("last", "to")
-    placed = pieces.select("key", "first", "prefix", "segment_id").join(spans, ["prefix", "segment_id"])
+    placed = skew_join(pieces.select("key", "first", "prefix", "segment_id"), spans, "segment_id").where(F.col("prefix") == F.col("prefix_right"))
     return placed.select("key", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to") + span).alias("last"))
 
 
