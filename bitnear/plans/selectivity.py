@@ -1,6 +1,7 @@
 """How much of a table a ball holds, and which physical strategy to take."""
 
 from math import comb
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,20 @@ def model_selectivity(distance: int | None) -> float:
     return min(max(MODEL_BASE * MODEL_STEP ** min(d, 64), MODEL_LEAST), MODEL_MOST)
 
 
+def bit_blocks(n: int, seed: int = 64) -> list[int]:
+    """The 64 bits dealt out to n blocks of about equal size, as signed masks that add up to all bits.
+
+    Bits are dealt in a shuffled order, so that hashes with a common run of bits, as small integers have, still differ in
+    every block.
+    """
+    order = Random(seed).sample(range(64), 64)
+    masks = (sum(1 << b for b in order[64 * i // n : 64 * (i + 1) // n]) for i in range(n))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def bands(column: Column, distance: int) -> list[Column]:
-    """distance + 1 bands of equal width: hashes within the distance are equal in one of them at least."""
-    width = 64 // (distance + 1)
-    if width == 64:
-        return [column]
-    mask = F.lit((1 << width) - 1)
-    return [F.shiftrightunsigned(column, i * width).bitwiseAND(mask) for i in range(distance + 1)]
+    """distance + 1 blocks of bits: hashes within the distance are equal in one of them at least."""
+    return [column.bitwiseAND(F.lit(m)) for m in bit_blocks(distance + 1)] if distance else [column]
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, distance: int) -> int:
