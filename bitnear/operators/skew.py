@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is heavy from this share of the rows on.
 HEAVY_SHARE = 0.002
+#: A table of fewer rows has no heavy keys: all of them may go through one task.
+LEAST_ROWS = 10_000
 #: Items the sketch tracks. Its error is at most about rows / (0.75 * tracked / 3.5), well under HEAVY_SHARE.
 TRACKED = 8192
 #: Rows of the other side that may be broadcast for the heavy keys.
@@ -19,17 +21,22 @@ SALTS = 64
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, tracked: int = TRACKED) -> DataFrame:
-    """A table with the one column key: all keys that hold the share of rows or more, at most about 1 / share of them.
+    """A table with the one column key: all keys that hold the share of rows or more, at most about 1 / share of them."""
+    found = heavy_key_list(df, key, share, tracked)
+    return df.sparkSession.createDataFrame([(k,) for k in found], f"`{key}` {df.schema[key].dataType.simpleString()}")
+
+
+def heavy_key_list(df: DataFrame, key: str, share: float = HEAVY_SHARE, tracked: int = TRACKED) -> list:
+    """The keys of heavy_keys as a list.
 
     One pass, with sketches merged map-side. Keys close below the share may be among them; that changes no result of
-    the operators here. Null keys are left out; an empty table has none. The key may be of any atomic type.
+    the operators here. Null keys are left out; a table of fewer than LEAST_ROWS rows has none. The key may be of any
+    atomic type.
     """
-    kind = df.schema[key].dataType
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
     most = max(1, int(2 / share))
     found = keys.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {min(most, tracked)}, {tracked})").alias("top")).first()
-    chosen = [(x["item"],) for x in found["top"] or [] if x["count"] >= share * found["n"]] if found["n"] else []
-    return df.sparkSession.createDataFrame(chosen, f"`{key}` {kind.simpleString()}")
+    return [x["item"] for x in found["top"] or [] if x["count"] >= share * found["n"]] if found["n"] >= max(1, LEAST_ROWS) else []
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
@@ -49,7 +56,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
         while c != key and names[c] in left.columns or names[c] != c and names[c] in taken:
             names[c] += "_right"
     right = right.select(*[F.col(c).alias(names[c]) for c in right.columns])
-    hot = F.broadcast(heavy_keys(left, key, share))
+    hot = heavy_keys(left, key, share)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
     few = right.join(hot, key, "left_semi")
     light = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, how)
     if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
