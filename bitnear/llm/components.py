@@ -14,7 +14,8 @@ names a cluster it is linked to, so the result stays exact; only the number of l
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitnear.operators.skew import heavy_keys, skew_join
+from bitnear.operators import skew
+from bitnear.operators.skew import heavy_key_list, skew_join
 from bitnear.runtime import Workspace
 
 #: Rate of the exponential shifts: larger rates give smaller clusters and more links between them.
@@ -61,9 +62,9 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     links = work.write(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links-0")
     alone = both.select(F.explode(F.array("src", "dst")).alias("vertex")).where(F.col("vertex").isNotNull()).distinct()
     levels: list[DataFrame] = []
-    while not links.isEmpty():
+    while n := links.count():
         i = len(levels)
-        hot = [r["src"] for r in heavy_keys(links, "src").collect()]  # at most 2 / HEAVY_SHARE
+        hot = heavy_key_list(links, "src") if n >= skew.LEAST_ROWS else []  # at most 2 / HEAVY_SHARE
         levels.append(_grow(links, i, hot, work))
         between = _lookup(links, "src", levels[-1].withColumnRenamed("center", "x"), hot)
         between = _lookup(between, "dst", levels[-1].withColumnRenamed("center", "y"), hot).where(F.col("x") != F.col("y"))

@@ -1,0 +1,10 @@
+import pytest
+
+from bitnear.operators import skew
+
+
+@pytest.fixture(params=["skewed", "plain"])
+def least_rows(request, monkeypatch):
+    """A test of a module with skew joins runs with the paths for heavy keys, which small tables don't take otherwise, and without."""
+    if request.param == "skewed":
+        monkeypatch.setattr(skew, "LEAST_ROWS", 0)

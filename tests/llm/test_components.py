@@ -4,6 +4,8 @@ import pytest
 
 from bitnear.llm.components import connected_groups, consolidate_matches
 
+pytestmark = pytest.mark.usefixtures("least_rows")
+
 
 def groups(pairs):
     up = {}

@@ -5,6 +5,8 @@ import pytest
 
 from bitnear.llm.rp_forest import fit_forest, leaves, nearest_by_area, nearest_in_balls, pop_all
 
+pytestmark = pytest.mark.usefixtures("least_rows")
+
 
 def bits(a, b):
     return ((a ^ b) & (2**64 - 1)).bit_count()

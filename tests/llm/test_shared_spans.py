@@ -6,6 +6,8 @@ import pytest
 from bitnear.llm import shared_spans as module
 from bitnear.llm.shared_spans import anchor_runs, code_points, shared_share, shared_spans, spans_by_record, tree_spans
 
+pytestmark = pytest.mark.usefixtures("least_rows")
+
 
 def brute(docs, span):
     where = {}
