@@ -44,7 +44,16 @@ def p1_found(spark: SparkSession, at: str) -> DataFrame:
     return near.select(F.col("key").alias("area_id"), "id")
 
 
-@query()
+_BIG = "100000000000000000000"  # beyond any hash, so that records are vertices of their own
+
+
+@query(
+    f"WITH RECURSIVE r AS (SELECT target_hash::HUGEINT AS x, match_hash::HUGEINT AS y, match_tid::HUGEINT + {_BIG} AS z FROM bktree_batch_search), "
+    "e AS (SELECT DISTINCT unnest([x, y, x, z, y, z]) AS a, unnest([y, x, z, x, z, y]) AS b FROM r), "
+    "g(v, low) USING KEY (v) AS (SELECT DISTINCT unnest([x, y, z]) AS v, v FROM r UNION "
+    "(SELECT old.v, min(g.low) FROM g JOIN e ON e.a = g.v JOIN recurring.g AS old ON old.v = e.b WHERE g.low < old.low GROUP BY old.v)) "
+    f"SELECT (v - {_BIG})::BIGINT AS match_tid, CASE WHEN low < {_BIG} / 2 THEN low::BIGINT END AS group_hash FROM g WHERE v > {_BIG} / 2"
+)
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     pairs = table(spark, at, "bktree_batch_search")
     groups = consolidate_matches(pairs, ("target_hash", "match_hash"), "match_tid")

@@ -1,10 +1,17 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from bitnear.llm.components import connected_groups, consolidate_matches
+from bitnear.llm import components
+from bitnear.llm.components import connected_groups, consolidate_matches, decompose
 
-pytestmark = pytest.mark.usefixtures("least_rows")
+
+@pytest.fixture(params=["last in one task", "all levels by joins"])
+def last(request, monkeypatch):
+    if request.param.startswith("all"):
+        monkeypatch.setattr(components, "LAST_LINKS", 0)
 
 
 def groups(pairs):
@@ -42,12 +49,12 @@ def chain(n):
     ],
     ids=["empty", "null", "alone", "chain", "star", "random"],
 )
-def test_groups(spark, rows, pairs):
+def test_groups(spark, rows, last, pairs):
     df = spark.createDataFrame([(*p, "x") for p in pairs], "src bigint, dst bigint, vertex string")
     assert rows(connected_groups(df, "src", "dst")) == groups(pairs)
 
 
-def test_records(spark, rows):
+def test_records(spark, rows, last):
     rng = random.Random(2)
     some = [(rng.randrange(60), rng.randrange(60), rng.randrange(40)) for _ in range(45)]
     some = [tuple(None if rng.random() < 0.1 else x for x in r) for r in some]
@@ -62,3 +69,35 @@ def test_records(spark, rows):
     got = consolidate_matches(df, ("hash", "y"), "record")
     assert got.columns == ["record", "group_hash"] and rows(got) == sorted(want, key=repr)
     assert consolidate_matches(df.where("false"), ("hash", "y"), "record").count() == 0
+
+
+@pytest.mark.parametrize("n, m", [(1, 0), (2, 1), (300, 200), (300, 900)])
+def test_decomposition_in_arrays(n, m):
+    rng = np.random.default_rng(n + m)
+    a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+    a[-1:], b[-1:] = n - 1, n - 1 - (n > 1)
+    roots = decompose(a, b)
+    least = {}
+    for v, r in enumerate(roots.tolist()):
+        least.setdefault(r, v)
+    want = dict(groups(list(zip(a.tolist(), b.tolist(), strict=True))))
+    assert all(least[r] == want.get(v, v) for v, r in enumerate(roots.tolist()))
+
+
+def test_a_hot_vertex_is_split_between_tasks(spark, rows):
+    """A hub with most links: adaptive execution may split its partition in the joins, as nothing above needs the keys together."""
+    from bitnear.plans.shape import physical_plan
+
+    links = spark.range(60_000).selectExpr("IF(id % 3 > 0, -1L, id) AS src", "id + 100000 AS vertex")
+    labels = spark.range(-1, 60_000).selectExpr("id AS src", "id AS center")  # as if read from a written table
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "20k",
+                "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        sent = links.join(labels, "src").groupBy("vertex").agg(F.min("center").alias("center"))
+        sent.collect()
+        assert "skew=true" in physical_plan(sent)
+    finally:
+        for k in settings:
+            spark.conf.unset(f"spark.sql.{k}")
