@@ -70,7 +70,17 @@ def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return top_in_groups(rows, "target_hash", 3, hamming("target_hash", "match_hash"), ["match_hash", "match_tid"])
 
 
-@query()
+@query(
+    # s: 0 undecided, 1 accepted, 2 a case; hashes accepted before have place 0 and those of the table follow in order
+    "WITH RECURSIVE k AS (SELECT DISTINCT a AS h, 0 AS place FROM int8tmp_2 WHERE a IS NOT NULL), "
+    "f AS (SELECT hash AS h, min((batch_no, id)) AS place, arg_min(id, (batch_no, id)) AS id FROM test_batch_join WHERE hash IS NOT NULL GROUP BY hash), "
+    "n AS (SELECT h, 0 AS place, NULL::BIGINT AS id FROM k UNION ALL SELECT h, row_number() OVER (ORDER BY place), id FROM f WHERE h NOT IN (SELECT h FROM k)), "
+    "p AS (SELECT x.h AS later, y.h AS earlier FROM n x JOIN n y ON y.place < x.place AND bit_count(xor(x.h, y.h)) <= 3), "
+    "s(h, s) USING KEY (h) AS (SELECT h, CASE WHEN h IN (SELECT later FROM p) THEN 0 ELSE 1 END FROM n UNION "
+    "(SELECT p.later, CASE WHEN bool_or(e.s = 1) THEN 2 ELSE 1 END FROM p JOIN recurring.s AS l ON l.h = p.later JOIN recurring.s AS e ON e.h = p.earlier "
+    "WHERE l.s = 0 GROUP BY p.later HAVING bool_or(e.s = 1) OR bool_and(e.s = 2))) "
+    "SELECT id FROM test_batch_join WHERE hash IS NOT NULL AND id NOT IN (SELECT n.id FROM n JOIN s USING (h) WHERE s.s = 1 AND n.id IS NOT NULL)"
+)
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
     known = table(spark, at, "int8tmp_2").select("a")
     rows = table(spark, at, "test_batch_join")
