@@ -13,8 +13,18 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset, as in tests, a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or else the one given to setCheckpointDir.
+
+    Where neither is set, a session with a local master gets a folder of its own, as in tests; on a cluster each executor
+    would write to its own disk, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own_dir()
+    return found.rstrip("/")
 
 
 _MADE: list["Workspace"] = []
@@ -61,7 +71,16 @@ def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def file_partitions(df: DataFrame) -> int:
+    """The number of partitions of a table that is read and projected only; 0 if it is the result of a shuffle.
+
+    Counting the latter's partitions would run its stages.
+    """
+    plan = df._jdf.queryExecution().sparkPlan()
+    return 0 if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else plan.execute().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are slots, for work bound by CPU; left alone if it has them already."""
     n = slots(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    return df if file_partitions(df) >= n else df.repartition(n)
