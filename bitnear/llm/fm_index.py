@@ -118,7 +118,7 @@ def build_shard(words: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, off
     separator[starts[1:] - 1] = True
     text = np.zeros(n, np.int64)
     text[~separator] = symbol + 1
-    rank, _ = suffix_ranks(text, separator)
+    rank = suffix_ranks(text, separator)
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
     before = text[order - 1]

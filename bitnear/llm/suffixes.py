@@ -13,15 +13,10 @@ def first_ranks(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_ranks(symbols: np.ndarray, separator: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(rank of each suffix, [ranks by the first 1, 2, 4, ... symbols]); the text must end with a separator.
-
-    keep=True keeps the ranks of each step, which common_prefix needs.
-    """
-    rank, steps, n, width = first_ranks(symbols, separator), [], len(symbols), 1
+def suffix_ranks(symbols: np.ndarray, separator: np.ndarray) -> np.ndarray:
+    """The rank of each suffix; the text must end with a separator."""
+    rank, n, width = first_ranks(symbols, separator), len(symbols), 1
     while n:
-        if keep:
-            steps.append(rank.astype(np.int32))
         if rank.max() == n - 1 and width > 1:
             break
         behind = np.zeros(n, np.int64)
@@ -32,14 +27,38 @@ def suffix_ranks(symbols: np.ndarray, separator: np.ndarray, keep: bool = False)
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         width *= 2
-    return rank, steps
+    return rank
 
 
-def common_prefix(a: np.ndarray, b: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Lengths of the longest common prefixes of suffixes a and b, by halving steps."""
-    out = np.zeros(len(a), np.int64)
-    n = len(steps[0]) if steps else 0
-    for j in range(len(steps) - 1, -1, -1):
-        x, y = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
-        out += (steps[j][x] == steps[j][y]).astype(np.int64) << j
-    return out
+def window_order(symbols: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, borders): the suffixes at the places, sorted by their first `width` symbols, all within the array; borders
+    are where a suffix differs from the one before it. This is the suffix array, or the suffix tree, cut at that depth.
+
+    As many symbols as fit are packed into a word, and the ranks of words of two or three times the width are made from
+    ranks of words, until two that overlap make up the width.
+    """
+    there = np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
+    there[symbols] = 1
+    code = (np.cumsum(there) - 1)[symbols]
+    bits = max(1, int(there.sum() - 1).bit_length())
+    have = max(1, min(62 // bits, width))
+    rank = code[: len(code) - have + 1].copy()
+    for j in range(1, have):
+        rank = (rank << bits) | code[j : len(code) - have + 1 + j]
+    while 2 * have < width:
+        _, rank = np.unique(rank, return_inverse=True)
+        n, step = int(rank.max(initial=0)) + 1, have
+        times = 3 if 3 * have <= width and n < 1 << 20 else 2
+        size = len(rank) - (times - 1) * step
+        key = rank[:size]
+        for j in range(1, times):
+            key = key * n + rank[j * step : j * step + size]
+        rank, have = key, times * have
+    if have < width:
+        _, rank = np.unique(rank, return_inverse=True)
+        key = rank[places] * (int(rank.max(initial=0)) + 1) + rank[places + width - have]
+    else:
+        key = rank[places]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])

@@ -6,7 +6,7 @@ import regex
 
 from bitnear.llm import fm_index
 from bitnear.llm.fm_index import Bits, Wavelet, build_shard, find, leaked_spans, merge_spans, removal_spans
-from bitnear.llm.suffixes import common_prefix, suffix_ranks
+from bitnear.llm.suffixes import suffix_ranks, window_order
 
 
 def words(text):
@@ -30,10 +30,22 @@ def test_bits_and_wavelet():
 def test_suffixes():
     text = np.array([3, 3, 1, 9, 3, 3, 1, 2, 9, 1, 9])
     end = text == 9
-    rank, steps = suffix_ranks(text, end, keep=True)
     split = lambda i: [(0, j) if end[j] else (1, int(text[j])) for j in range(i, len(text))]
-    assert np.argsort(rank).tolist() == sorted(range(len(text)), key=split)
-    assert common_prefix(np.array([0, 1, 2, 0]), np.array([4, 5, 9, 1]), steps).tolist() == [3, 2, 1, 1]
+    assert np.argsort(suffix_ranks(text, end)).tolist() == sorted(range(len(text)), key=split)
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 30, 400, 60_000])
+@pytest.mark.parametrize("width", [1, 2, 7, 40, 100])
+def test_suffixes_cut_at_a_depth(symbols, width):
+    rng = np.random.default_rng(width)
+    text = rng.integers(0, symbols, 700).astype(np.uint32)
+    text[300:500] = text[:200]
+    places = np.flatnonzero(rng.random(len(text) - width + 1) < 0.7)
+    order, border = window_order(text, places, width)
+    own = [tuple(text[i : i + width].tolist()) for i in places[order]]
+    assert own == sorted(own)
+    assert border.tolist() == [i for i in range(len(own)) if not i or own[i] != own[i - 1]]
+    assert [len(x) for x in window_order(text[:0], places[:0], width)] == [0, 0]
 
 
 def test_search_and_locate():

@@ -6,8 +6,6 @@ import pytest
 from bitnear.llm import shared_spans as module
 from bitnear.llm.shared_spans import anchor_runs, code_points, shared_share, shared_spans, spans_by_record, tree_spans
 
-pytestmark = pytest.mark.usefixtures("least_rows")
-
 
 def brute(docs, span):
     where = {}
@@ -28,12 +26,13 @@ def test_anchors_depend_on_the_window_only():
     seen = []
     for before in ("", "xyz", "qq" * 40):
         text = code_points(before + common + before)
-        first, last, prefix = anchor_runs(text, np.full(len(text), len(text)), 100)
+        first, last, anchor, prefix = anchor_runs(text, np.full(len(text), len(text)), 100)
         assert first[0] == 0 and last[-1] == len(text) - 100 and (first[1:] == last[:-1] + 1).all()
+        assert (anchor >= last).all() and (anchor + 32 <= first + 100).all()
         each = np.repeat(prefix, last - first + 1)
         seen.append(each[len(before) : len(before) + 51].tolist())
     assert seen[0] == seen[1] == seen[2]
-    assert [len(x) for x in anchor_runs(text[:99], np.full(99, 99), 100)] == [0, 0, 0]
+    assert [len(x) for x in anchor_runs(text[:99], np.full(99, 99), 100)] == [0, 0, 0, 0]
 
 
 def test_a_tree_counts_records_not_occurrences():
@@ -46,7 +45,7 @@ def test_a_tree_counts_records_not_occurrences():
 @pytest.mark.parametrize("small", [False, True])
 def test_same_as_brute_force(spark, rows, monkeypatch, small):
     if small:  # many pieces and groups, and prefixes that are lengthened
-        for name, n in (("PIECE_CHARS", 300), ("GROUP_CHARS", 500), ("PREFIX_SEGMENTS", 3)):
+        for name, n in (("PIECE_CHARS", 300), ("GROUP_CHARS", 500), ("PREFIX_SEGMENTS", 3), ("CUT_ROWS", 2)):
             monkeypatch.setattr(module, name, n)
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice("ab cdeé😀\n") for _ in range(n))
