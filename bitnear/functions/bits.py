@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BITS_LENGTH_ERROR = "bitstring_to_int64() input MUST be 64 characters long. Passed string length: "
 BITS_CHARACTER_ERROR = "bitstring_to_int64() input can only contain either '1' or '0'. Found bad char '"
 BITS_INDEX_TEXT = "' at index "
+NO_COLUMN = 'column "{}" does not exist'
+NULL_DISTANCE = "distance cannot be NULL"
 
 
 def as_hash(value: Column | str | int) -> Column:

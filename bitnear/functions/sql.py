@@ -39,7 +39,7 @@ def register_search(spark: SparkSession, name: str, table: str, column: str, key
     source = spark.table(table)
     for c in (column, key):
         if c not in source.columns:
-            raise ValueError(f'column "{c}" does not exist')
+            raise ValueError(bits.NO_COLUMN.format(c))
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(targets array<bigint>, distance bigint) "
         f"RETURNS TABLE(target bigint, match bigint, key {source.schema[key].dataType.simpleString()}) "

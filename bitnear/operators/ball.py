@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitnear.functions.bits import hamming, within
+from bitnear.functions.bits import NO_COLUMN, NULL_DISTANCE, hamming, within
 
 
 def ball_filter(df: DataFrame, column: str, center: Column | int, distance: Column | int | None) -> DataFrame:
@@ -13,9 +13,9 @@ def ball_filter(df: DataFrame, column: str, center: Column | int, distance: Colu
     gives no rows; repeated rows stay repeated. distance=None raises.
     """
     if distance is None:
-        raise ValueError("distance cannot be NULL")
+        raise ValueError(NULL_DISTANCE)
     if column not in df.columns:
-        raise ValueError(f'column "{column}" does not exist')
+        raise ValueError(NO_COLUMN.format(column))
     if isinstance(distance, int) and distance == 0:
         return df.where(df[column] == center)
     return df.where(within(df[column], center, distance))

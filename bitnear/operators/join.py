@@ -6,11 +6,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitnear.functions.bits import within
+from bitnear.functions.bits import NO_COLUMN, NULL_DISTANCE, within
+from bitnear.operators.pivot import choose_pivots
 from bitnear.plans import selectivity
 
-OUTER = ("right", "right_outer", "full", "full_outer", "outer")
 LEFT = ("left", "left_outer", "left_semi", "semi", "left_anti", "anti")
+RIGHT = ("right", "right_outer")
+FULL = ("full", "full_outer", "outer")
+#: Widest distance of each class of balls that are searched together where each row has its own distance.
+CLASSES = (0, 3, 5, 8, 12)
+
+Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def similarity_join(
@@ -21,7 +27,7 @@ def similarity_join(
     distance: int | str,
     how: str = "inner",
     strategy: str = "auto",
-    condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    condition: Condition | None = None,
 ) -> DataFrame:
     """Join on hamming(left_on, right_on) <= distance.
 
@@ -32,15 +38,24 @@ def similarity_join(
     Null hashes and null distances match nothing; a negative distance matches nothing and 64 or more every non-null
     hash; repeated rows on either side keep their multiplicity; empty tables are fine. distance=None raises.
 
-    strategy: 'scan' broadcasts the smaller side, in blocks of a fixed size, and compares everything; any distance and
-    join type (left, semi and anti joins with a large right side compare distinct hashes only). 'bands' joins on equal parts of the hash (distance + 1 parts) over the distinct hashes of either side and
-    verifies; distances 0..64 and inner, left, semi and anti joins. 'auto' chooses by counts. All give the same rows.
+    All strategies serve all distances and join types, and give the same rows:
+    'scan' compares everything. A side of at most BROADCAST_ROWS and BROADCAST_BYTES is broadcast whole, if the join type
+    lets it; else the distinct hashes are compared, of which the fewer go in blocks of BROADCAST_ROWS.
+    'bands' joins distinct hashes that agree in a block of bits, but for as many bits as the distance leaves to each block,
+    and verifies. Where rows have their own distances, those of similar distances are searched together; distances for
+    which blocks would not pay are scanned.
+    'pivot' joins distinct hashes whose distances to a pivot allow them to be near, by the triangle inequality.
+    'auto' chooses between the first two by counts.
     """
     if distance is None:
-        raise ValueError("distance cannot be NULL")
+        raise ValueError(NULL_DISTANCE)
     for df, c in ((left, left_on), (right, right_on), *([(right, distance)] if isinstance(distance, str) else [])):
         if c not in df.columns:
-            raise ValueError(f'column "{c}" does not exist')
+            raise ValueError(NO_COLUMN.format(c))
+    if how not in ("inner", *LEFT, *RIGHT, *FULL):
+        raise ValueError(f"there is no {how} join")
+    if strategy not in ("scan", "bands", "pivot", "auto"):
+        raise ValueError(f"there is no strategy {strategy}")
     names = {}
     for c in right.columns:
         new = c
@@ -49,76 +64,104 @@ def similarity_join(
         names[c] = new
     right = right.select(*[right[c].alias(names[c]) for c in right.columns])
     right_on = names[right_on]
-    fixed = distance if isinstance(distance, int) else None
+    limit = F.lit(distance) if isinstance(distance, int) else F.col(names[distance])
+    also = condition(F.col, lambda c: F.col(names[c])) if condition else None
     if strategy == "auto":
-        strategy = "scan" if fixed is None or how in OUTER else selectivity.choose(left, right, left_on, right_on, fixed)
-    if strategy == "scan" or fixed is not None and fixed >= 64:
-        limit = F.lit(fixed) if fixed is not None else F.col(names[distance])
-        within_limit = lambda a, b, d: within(F.col(a), F.col(b), limit if fixed is not None else F.col(d))
-        on = within_limit(left_on, right_on, names.get(distance))
-        if how not in LEFT or right.limit(selectivity.BROADCAST_ROWS + 1).count() <= selectivity.BROADCAST_ROWS:
-            return _scan(left, right, _and(on, condition, names), how)
-        own = [right_on] if fixed is not None else [right_on, names[distance]]
-        x = left.where(F.col(left_on).isNotNull()).select(F.col(left_on).alias("__a")).distinct()
-        y = right.dropna(subset=own).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(own)]).distinct()
-        pairs = _scan(x, y, within_limit("__a", "__0", "__1"), "inner")
-        same = reduce(Column.__and__, [F.col(c) == F.col(f"__{i}") for i, c in enumerate(own)])
-        near = right.join(pairs, same).select(*right.columns, "__a")
-        return left.join(near, _and(F.col(left_on) == F.col("__a"), condition, names), how).drop("__a")
-    if strategy != "bands" or fixed is None or how not in ("inner", *LEFT):
-        raise ValueError(f"strategy {strategy} can't serve distance {distance} in a {how} join")
-    return _banded(left, right, left_on, right_on, fixed, how, condition, names)
+        strategy = selectivity.choose(left, right, left_on, right_on, distance) if isinstance(distance, int) else _choose_by_row(left, right)
+    if isinstance(distance, int) and distance == 0 and strategy == "bands" and how not in RIGHT + FULL:
+        return left.join(right, _and(F.col(left_on) == F.col(right_on), also), how)
+    if strategy == "scan":
+        on = _and(within(F.col(left_on), F.col(right_on), limit), also)
+        if how in ("inner", *LEFT) and selectivity.fits(right):
+            return left.join(F.broadcast(right), on, how)
+        if how in ("inner", *RIGHT) and selectivity.fits(left):
+            return F.broadcast(left).join(right, on, how).select(*left.columns, *right.columns)
+    x = left.where(F.col(left_on).isNotNull()).select(F.col(left_on).alias("__a")).distinct()
+    y = right.select(F.col(right_on).alias("__b"), _at_most_64(limit).alias("__d"))
+    y = y.where(F.col("__b").isNotNull() & (F.col("__d") >= 0)).distinct()
+    find = {"scan": _scan_pairs, "bands": _banded_pairs, "pivot": _pivot_pairs}[strategy]
+    return _assemble(left, right, find(x, y, distance if isinstance(distance, int) else None), left_on, right_on, limit, how, also)
 
 
-def _and(on: Column, condition, names: dict[str, str]) -> Column:
-    return on if condition is None else on & condition(F.col, lambda c: F.col(names[c]))
+def _and(on: Column, also: Column | None) -> Column:
+    return on if also is None else on & also
 
 
-def _scan(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
-    """A broadcast nested loop join. Where both sides are beyond BROADCAST_ROWS, the smaller goes in blocks of that size.
+def _at_most_64(limit: Column) -> Column:
+    """Null stays null, unlike in least()."""
+    return F.when(limit > 64, F.lit(64)).otherwise(limit).cast("bigint")
 
-    Right and full joins are left to Spark, which can only broadcast a side whole.
-    """
-    if how not in ("inner", *LEFT):
-        return left.join(right, on, how)
-    n = right.count()
-    if n <= selectivity.BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on, how)
-    m = left.count()
-    if m <= selectivity.BROADCAST_ROWS:
-        return F.broadcast(left).join(right, on, how)
-    blocks = -(-min(n, m) // selectivity.BROADCAST_ROWS) * 2  # half full on average, so that uneven blocks fit too
-    small, other = (right, left) if n <= m else (left, right)
-    block = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
-    parts = [other.join(F.broadcast(small.where(block == i)), on).select(*left.columns, *right.columns) for i in range(blocks)]
-    return reduce(DataFrame.unionAll, parts)
 
+def _choose_by_row(left: DataFrame, right: DataFrame) -> str:
+    return "scan" if any(selectivity.few_rows(df, selectivity.FEW_ROWS) is not None for df in (right, left)) else "bands"
 
-def matching_hashes(left: DataFrame, right: DataFrame, a: str, b: str, distance: int) -> DataFrame:
-    """Distinct pairs of a hash a of the left and a hash b of the right table within the distance.
 
-    A pair is kept in its first equal band only, so no distinct is needed after the join.
-    """
-    x = left.where(F.col(a).isNotNull()).select(F.col(a).alias("__a")).distinct()
-    y = right.where(F.col(b).isNotNull()).select(F.col(b).alias("__b")).distinct()
-    if distance == 0:
-        return x.join(y, F.col("__a") == F.col("__b"))
-    split = lambda c: F.posexplode(F.array(*selectivity.bands(F.col(c), distance)))
-    x = x.select("__a", split("__a").alias("__band", "__part"))
-    y = y.select("__b", split("__b").alias("__band_b", "__part_b"))
-    equal = [p == q for p, q in zip(selectivity.bands(F.col("__a"), distance), selectivity.bands(F.col("__b"), distance), strict=True)]
-    first = reduce(lambda out, i: F.when(equal[i], i).otherwise(out), reversed(range(distance + 1)), F.lit(-1))
-    on = (F.col("__band") == F.col("__band_b")) & (F.col("__part") == F.col("__part_b"))
-    return x.join(y, on & within("__a", "__b", distance) & (first == F.col("__band"))).select("__a", "__b")
-
-
-def _banded(left, right, left_on: str, right_on: str, distance: int, how: str, condition, names) -> DataFrame:
-    if distance < 0:
-        return left.join(right.where(F.lit(False)), F.lit(False), how)
-    if distance == 0:
-        on = F.col(left_on) == F.col(right_on)
-        return left.join(right, _and(on, condition, names), how)
-    pairs = matching_hashes(left, right, left_on, right_on, distance)
-    near = right.join(pairs, F.col(right_on) == F.col("__b")).drop("__b")
-    on = F.col(left_on) == F.col("__a")
-    return left.join(near, _and(on, condition, names), how).drop("__a")
+def _assemble(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: str, limit: Column, how: str, also: Column | None) -> DataFrame:
+    """The join of whole rows, from the distinct pairs (__a, __b, __d) of hashes and distances that match."""
+    same = (F.col(b) == F.col("__b")) & (_at_most_64(limit) == F.col("__d"))
+    columns = [*left.columns, *right.columns]
+
+    def from_left(kind: str) -> DataFrame:
+        near = right.join(pairs, same).select(*right.columns, "__a")
+        return left.join(near, _and(F.col(a) == F.col("__a"), also), kind)
+
+    def from_right(kind: str) -> DataFrame:
+        near = left.join(pairs, F.col(a) == F.col("__a")).select(*left.columns, "__b", "__d")
+        return right.join(near, _and(same, also), kind)
+
+    if how in RIGHT:
+        return from_right("left").select(*columns)
+    if how in FULL:
+        alone = from_right("left_anti").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields], *right.columns)
+        return from_left("left").select(*columns).unionAll(alone)
+    return from_left(how).drop("__a")
+
+
+def _scan_pairs(x: DataFrame, y: DataFrame, distance: int | None = None) -> DataFrame:
+    """Everything compared; the side with fewer hashes is broadcast in blocks of BROADCAST_ROWS (24 bytes a row)."""
+    on = within("__a", "__b", F.col("__d"))
+    most = selectivity.BROADCAST_ROWS
+    for small, other in ((y, x), (x, y)):
+        if selectivity.few_rows(small, most) is not None:
+            return other.join(F.broadcast(small), on).select("__a", "__b", "__d")
+    n, m = x.count(), y.count()
+    small, other = (x, y) if n < m else (y, x)
+    blocks = -(-min(n, m) // most) * 2  # half full on average, so that uneven blocks fit too
+    block = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
+    return reduce(DataFrame.unionAll, [other.join(F.broadcast(small.where(block == i)), on).select("__a", "__b", "__d") for i in range(blocks)])
+
+
+def _block_pairs(x: DataFrame, y: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """Pairs within each y's own distance, which is `distance` at most. A pair is kept in the first block where it meets."""
+    flips = distance // blocks
+    x = x.select("__a", F.inline(selectivity.parts(F.col("__a"), blocks)))
+    y = y.select("__b", "__d", F.inline(selectivity.parts(F.col("__b"), blocks)))
+    if flips:
+        y = y.withColumn("part", F.explode(selectivity.probes(F.col("band"), F.col("part"), blocks, flips)))
+    y = y.select("__b", "__d", F.col("band").alias("__band"), F.col("part").alias("__part"))
+    differ = F.col("__a").bitwiseXOR(F.col("__b"))
+    first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(m))) <= flips, F.lit(i)) for i, m in enumerate(selectivity.bit_blocks(blocks))])
+    on = (F.col("band") == F.col("__band")) & (F.col("part") == F.col("__part"))
+    return x.join(y, on & within("__a", "__b", F.col("__d")) & (first == F.col("band"))).select("__a", "__b", "__d")
+
+
+def _banded_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame:
+    """By blocks, in classes of distances; what is wider than the last class is scanned."""
+    if distance is not None:
+        blocks = selectivity.band_plan(min(distance, 64))
+        return _block_pairs(x, y, distance, blocks) if blocks else _scan_pairs(x, y)
+    out, low = [], -1
+    for most in CLASSES:
+        out.append(_block_pairs(x, y.where((F.col("__d") > low) & (F.col("__d") <= most)), most, selectivity.band_plan(most) or 1))
+        low = most
+    return reduce(DataFrame.unionAll, [*out, _scan_pairs(x, y.where(F.col("__d") > low))])
+
+
+def _pivot_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame:
+    """near hashes have distances to a pivot that differ by the distance at most: a join on the distance to the pivot."""
+    pivot = (choose_pivots(x, "__a", 1) or [0])[0]
+    away = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(pivot))).cast("bigint")
+    x = x.withColumn("__from", away("__a"))
+    reach = F.sequence(F.greatest(away("__b") - F.col("__d"), F.lit(0)), F.least(away("__b") + F.col("__d"), F.lit(64)))
+    y = y.withColumn("__to", F.explode(reach))
+    return x.join(y, (F.col("__from") == F.col("__to")) & within("__a", "__b", F.col("__d"))).select("__a", "__b", "__d")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitnear.functions.bits import NO_COLUMN, NULL_DISTANCE
 from bitnear.operators.join import similarity_join
 
 # Texts of the errors that callers match on.
@@ -27,11 +28,11 @@ def batch_search(
     number of targets unless max_targets sets one.
     """
     if column not in df.columns:
-        raise ValueError(f'column "{column}" does not exist')
+        raise ValueError(NO_COLUMN.format(column))
     if key is not None and key not in df.columns:
-        raise ValueError(f'column "{key}" does not exist')
+        raise ValueError(NO_COLUMN.format(key))
     if distance is None:
-        raise ValueError("distance cannot be NULL")
+        raise ValueError(NULL_DISTANCE)
     if isinstance(targets, DataFrame):
         wanted = targets.select(F.col(targets.columns[0]).cast("bigint").alias("target"))
     else:

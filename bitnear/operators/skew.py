@@ -8,14 +8,14 @@ results are put together by union.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitnear.plans.selectivity import fits
+
 #: A key is heavy from this share of the rows on.
 HEAVY_SHARE = 0.002
-#: A table of fewer rows has no heavy keys: all of them may go through one task.
-LEAST_ROWS = 10_000
 #: Items the sketch tracks. Its error is at most about rows / (0.75 * tracked / 3.5), well under HEAVY_SHARE.
 TRACKED = 8192
-#: Rows of the other side that may be broadcast for the heavy keys.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of them, of the other side that may be broadcast for the heavy keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Pieces into which a heavy key is salted where the other side is heavy too.
 SALTS = 64
 
@@ -30,13 +30,12 @@ def heavy_key_list(df: DataFrame, key: str, share: float = HEAVY_SHARE, tracked:
     """The keys of heavy_keys as a list.
 
     One pass, with sketches merged map-side. Keys close below the share may be among them; that changes no result of
-    the operators here. Null keys are left out; a table of fewer than LEAST_ROWS rows has none. The key may be of any
-    atomic type.
+    the operators here. Null keys are left out. The key may be of any atomic type.
     """
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
     most = max(1, int(2 / share))
     found = keys.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {min(most, tracked)}, {tracked})").alias("top")).first()
-    return [x["item"] for x in found["top"] or [] if x["count"] >= share * found["n"]] if found["n"] >= max(1, LEAST_ROWS) else []
+    return [x["item"] for x in found["top"] or [] if x["count"] >= share * found["n"]]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
@@ -62,7 +61,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
     hot = F.broadcast(hot)
     few = right.join(hot, key, "left_semi")
     light = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, how)
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(few, BROADCAST_ROWS, BROADCAST_BYTES):
         return left.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(light)
     salted = left.join(hot, key, "left_semi").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     many = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -1,21 +1,28 @@
-"""How much of a table a ball holds, and which physical strategy to take."""
+"""How much of a table a ball holds, which physical strategy to take, and whether a table may be broadcast."""
 
+from itertools import combinations
 from math import comb
 from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 # The published selectivity model is clamp(1e-9 * 4^d, 1e-10, 0.5), and 0 below d = 0; 4 is the distance it assumes where none is known.
 MODEL_BASE, MODEL_STEP, MODEL_LEAST, MODEL_MOST, MODEL_DISTANCE = 1e-9, 4.0, 1e-10, 0.5, 4
 
-#: Targets that a scan join broadcasts at once (16 bytes a row); beyond it the targets go in blocks.
+#: Rows, and bytes of them, that a join broadcasts at once; beyond either they go in blocks or by another way.
 BROADCAST_ROWS = 1_000_000
-#: From so many hash comparisons on, bands are worth their shuffle.
-BANDS_FROM = 10**9
-#: Bands are of use up to this distance: beyond, bands of under 9 bits select too little.
-BANDS_MOST = 6
-#: A band value on which more than this share of all pairs meet makes bands slower than the scan.
+BROADCAST_BYTES = 64 << 20
+#: A side of so few rows is compared with everything: less work than any shuffle of the other side.
+FEW_ROWS = 1_000
+#: Cost of making and moving one probe, in comparisons.
+PROBE_COST = 30
+#: Rows of the other side that blocks are chosen for.
+TYPICAL_ROWS = 2_000_000
+#: Most probes a row may be expanded to.
+MOST_PROBES = 12_000
+#: A share of all pairs from which meeting in blocks is no better than comparing everything.
 HEAVY_PAIRS = 0.02
 
 
@@ -32,6 +39,31 @@ def model_selectivity(distance: int | None) -> float:
     return min(max(MODEL_BASE * MODEL_STEP ** min(d, 64), MODEL_LEAST), MODEL_MOST)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory: 8 for each fixed-width column, the lengths of the others."""
+
+    def width(f) -> Column:
+        if isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)):
+            return F.lit(8)
+        text = df[f.name] if isinstance(f.dataType, (StringType, BinaryType)) else F.to_json(F.struct(df[f.name]))
+        return F.coalesce(F.octet_length(text), F.lit(0)) + 24
+
+    return sum((width(f) for f in df.schema.fields), F.lit(16))
+
+
+def few_rows(df: DataFrame, most: int) -> int | None:
+    """The number of rows if it is `most` or less, else None; no more rows than that are counted."""
+    n = df.limit(most + 1).count()
+    return n if n <= most else None
+
+
+def fits(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """May df be broadcast whole? By rows and by bytes, both measured, reading no more rows than the bound."""
+    most = rows or BROADCAST_ROWS
+    seen = df.select(row_bytes(df).alias("b")).limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return seen["n"] <= most and (seen["b"] or 0) <= (size or BROADCAST_BYTES)
+
+
 def bit_blocks(n: int, seed: int = 64) -> list[int]:
     """The 64 bits dealt out to n blocks of about equal size, as signed masks that add up to all bits.
 
@@ -43,29 +75,75 @@ def bit_blocks(n: int, seed: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def bands(column: Column, distance: int) -> list[Column]:
-    """distance + 1 blocks of bits: hashes within the distance are equal in one of them at least."""
-    return [column.bitwiseAND(F.lit(m)) for m in bit_blocks(distance + 1)] if distance else [column]
+def _ways(bits: int, flips: int) -> int:
+    return sum(comb(bits, i) for i in range(flips + 1))
+
+
+def band_cost(distance: int, blocks: int, rows: int) -> tuple[float, int]:
+    """(cost of one row of the probing side in comparisons, its probes) against so many evenly spread rows."""
+    flips = distance // blocks
+    sizes = [64 * (i + 1) // blocks - 64 * i // blocks for i in range(blocks)]
+    probes = sum(_ways(b, flips) for b in sizes)
+    return PROBE_COST * probes + rows * sum(_ways(b, flips) / 2**b for b in sizes), probes
+
 
+def band_plan(distance: int, rows: int = TYPICAL_ROWS) -> int | None:
+    """The number of blocks to cut hashes into; None where comparing everything is cheaper.
+
+    Of n blocks one differs in at most distance // n bits, so one side is probed with that many bits of each block flipped
+    in all ways. Few long blocks need many probes, many short ones select little.
+    """
+    if not 0 <= distance < 64:
+        return None
+    costs = {n: band_cost(distance, n, rows) for n in range(1, min(distance + 1, 16) + 1)}
+    best = min((c, n) for n, (c, probes) in costs.items() if probes <= MOST_PROBES or n == distance + 1) if costs else (rows, 1)
+    return best[1] if best[0] < rows else None
+
+
+def flip_masks(mask: int, flips: int) -> list[int]:
+    """All signed masks of at most `flips` bits of the block."""
+    own = [1 << b for b in range(64) if mask >> b & 1]
+    found = [sum(chosen) for k in range(flips + 1) for chosen in combinations(own, k)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def parts(column: Column, blocks: int) -> Column:
+    """array<struct<band, part>>: the bits of each block."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), column.bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(bit_blocks(blocks))])
 
-def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, distance: int) -> int:
-    """The exact number of pairs that meet in some band: two aggregations with map-side combine and a join of counts."""
+
+def probes(band: Column, part: Column, blocks: int, flips: int) -> Column:
+    """array<bigint>: the part of a band with up to `flips` bits flipped in all ways."""
+    masks = F.lit(None).cast("array<bigint>")
+    for i, m in enumerate(bit_blocks(blocks)):
+        masks = F.when(band == i, F.split(F.lit(",".join(map(str, flip_masks(m, flips)))), ",").cast("array<bigint>")).otherwise(masks)
+    return F.transform(masks, lambda x: x.bitwiseXOR(part))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, a: str, b: str, distance: int, blocks: int) -> tuple[float, float]:
+    """(pairs that meet in some band, all pairs), exactly: two aggregations with map-side combine and a join of counts."""
 
     def counts(df: DataFrame, c: str, name: str) -> DataFrame:
-        parts = F.array(*[F.struct(F.lit(i).alias("band"), x.alias("part")) for i, x in enumerate(bands(F.col(c), distance))])
-        return df.select(F.explode(parts).alias("p")).groupBy("p").agg(F.count(F.lit(1)).cast("double").alias(name))
+        own = df.where(F.col(c).isNotNull()).select(F.inline(parts(F.col(c), blocks)))
+        return own.groupBy("band", "part").agg(F.count(F.lit(1)).cast("double").alias(name))
 
-    met = counts(left, a, "n").join(counts(right, b, "m"), "p")
-    return int(met.agg(F.sum(F.col("n") * F.col("m")).alias("x")).first()["x"] or 0)
+    flips = distance // blocks
+    n, m = counts(left, a, "n"), counts(right, b, "m")
+    if flips:
+        m = m.select("band", F.explode(probes(F.col("band"), F.col("part"), blocks, flips)).alias("part"), "m")
+    met = n.join(m, ["band", "part"]).agg(F.sum(F.col("n") * F.col("m")).alias("x")).first()["x"] or 0.0
+    rows = [counts_of.agg(F.sum(x)).first()[0] or 0.0 for counts_of, x in ((n.where("band = 0"), "n"), (counts(right, b, "m").where("band = 0"), "m"))]
+    return met, rows[0] * rows[1]
 
 
 def choose(left: DataFrame, right: DataFrame, a: str, b: str, distance: int) -> str:
-    """'scan' or 'bands', by counts of the whole tables: small products and wide balls scan, so do skewed bands."""
-    if distance < 0 or distance > BANDS_MOST:
-        return "scan"
+    """'scan' or 'bands'. A few rows on either side scan, and so do wide balls, and tables whose bands are skewed."""
     if distance == 0:
         return "bands"
-    product = left.count() * right.count()
-    if product < BANDS_FROM:
+    blocks = band_plan(distance)
+    if blocks is None or uniform_share(distance) >= HEAVY_PAIRS:
+        return "scan"
+    if few_rows(right, FEW_ROWS) is not None or few_rows(left, FEW_ROWS) is not None:
         return "scan"
-    return "bands" if candidate_pairs(left, right, a, b, distance) <= HEAVY_PAIRS * product else "scan"
+    met, pairs = candidate_pairs(left, right, a, b, distance, blocks)
+    return "bands" if met <= HEAVY_PAIRS * pairs else "scan"

@@ -9,12 +9,13 @@ from bitnear.functions.bits import area, equal_bits, from_bitstring, hamming, to
 from bitnear.functions.sql import register, register_search
 from bitnear.operators.ball import ball_filter, nearest
 from bitnear.operators.join import similarity_join
-from bitnear.operators.pivot import choose_pivot, pivot_ball_filter, write_pivot_layout
+from bitnear.operators.pivot import append_pivot_layout, pivot_ball_filter, write_pivot_layout
 from bitnear.operators.search import batch_search
 from bitnear.operators.skew import per_key_join, skew_join
-from bitnear.runtime import Workspace
 from bitnear.plans.selectivity import model_selectivity
-from bitnear.sources.hashes import append, content_hash, embedding_hash, random_hashes, targets
+from bitnear.plans.shape import search_report
+from bitnear.runtime import Workspace
+from bitnear.sources.hashes import append, content_hash, embedding_hash, random_hashes, read_hash_lines, targets
 from bitnear.streaming.search import stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +229,41 @@ def full_join(spark: SparkSession, at: str) -> DataFrame:
     return similarity_join(known, table(spark, at, "bktree_area"), "a", "center", 1, "full").select("a", "area_id")
 
 
+@query(f"SELECT a, area_id FROM (SELECT * FROM {_KNOWN} WHERE a % 2 = 0) RIGHT JOIN bktree_area ON {_IN.format('a', 'center', 'distance')}")
+def right_join(spark: SparkSession, at: str) -> DataFrame:
+    """Each ball with the even hashes accepted before that lie in it, or with none."""
+    known = table(spark, at, "int8tmp_2").distinct().where("a % 2 = 0")
+    return similarity_join(known, table(spark, at, "bktree_area"), "a", "center", "distance", "right", "bands").select("a", "area_id")
+
+
+@query(f"SELECT a, area_id FROM {_KNOWN} FULL JOIN bktree_area ON {_IN.format('a', 'center', 'distance')} AND area_id > 10")
+def full_join_per_row_distance(spark: SparkSession, at: str) -> DataFrame:
+    known = table(spark, at, "int8tmp_2").distinct()
+    joined = similarity_join(known, table(spark, at, "bktree_area"), "a", "center", "distance", "full", condition=lambda l, r: r("area_id") > 10)
+    return joined.select("a", "area_id")
+
+
+@query("SELECT b.area_id, k.a, b.distance FROM bktree_area b LEFT JOIN (SELECT DISTINCT a FROM int8tmp_2) k ON b.center = k.a")
+def left_equality_join(spark: SparkSession, at: str) -> DataFrame:
+    balls = table(spark, at, "bktree_area")
+    return similarity_join(balls, table(spark, at, "int8tmp_2").distinct(), "center", "a", 0, "left").select("area_id", "a", "distance")
+
+
+@query(f"SELECT area_id, count(*) AS matches FROM bktree_area JOIN (SELECT DISTINCT hash FROM test_batch_join) ON {_IN.format('hash', 'center', 8)} GROUP BY area_id")
+def wide_banded_join(spark: SparkSession, at: str) -> DataFrame:
+    """Distance 8: hashes meet in blocks with up to two bits of the block flipped."""
+    hashes = stored(spark, at).select("hash").distinct()
+    found = similarity_join(hashes, table(spark, at, "bktree_area"), "hash", "center", 8, strategy="bands")
+    return found.groupBy("area_id").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query(f"SELECT a, count(*) AS matches FROM {_KNOWN} JOIN bktree_area ON {_IN.format('a', 'center', 5)} GROUP BY a")
+def pivot_join(spark: SparkSession, at: str) -> DataFrame:
+    known = table(spark, at, "int8tmp_2").distinct()
+    found = similarity_join(known, table(spark, at, "bktree_area"), "a", "center", 5, strategy="pivot")
+    return found.groupBy("a").agg(F.count(F.lit(1)).alias("matches"))
+
+
 @query(f"SELECT area_id, count(*) AS matches FROM bktree_area JOIN (SELECT DISTINCT hash FROM test_batch_join) ON {_IN.format('hash', 'center', 4)} GROUP BY area_id")
 def banded_join(spark: SparkSession, at: str) -> DataFrame:
     hashes = stored(spark, at).select("hash").distinct()
@@ -237,10 +273,11 @@ def banded_join(spark: SparkSession, at: str) -> DataFrame:
 
 @query(f"SELECT id, hash FROM test_batch_join WHERE {_IN.format('hash', CENTER, 4)}")
 def pivot_scan(spark: SparkSession, at: str) -> DataFrame:
-    rows, work = stored(spark, at), Workspace(spark, "pivot")
-    pivot = choose_pivot(rows, "hash") or 0
-    write_pivot_layout(rows, "hash", f"{work.path}/rows", pivot)
-    return pivot_ball_filter(spark, f"{work.path}/rows", "hash", CENTER, 4, pivot)
+    """Batch 0 is laid out, the later rows are added to the layout, and a ball is read from it."""
+    rows, work = table(spark, at, "test_batch_join").select("id", "hash", "batch_no"), Workspace(spark, "pivot")
+    write_pivot_layout(rows.where("batch_no = 0"), "hash", work.path)
+    append_pivot_layout(rows.where("batch_no IS NULL OR batch_no <> 0"), work.path)
+    return pivot_ball_filter(spark, work.path, CENTER, 4).select("id", "hash")
 
 
 @query("SELECT id, hash::BIT::VARCHAR AS bits, hash AS back FROM test_batch_join")
@@ -288,7 +325,10 @@ def appended_rows(spark: SparkSession, at: str) -> DataFrame:
     return batch_search(spark.read.parquet(path), "hash", [100], 3, key="id")
 
 
-@query()
+_RANDOM = "(SELECT id, ('0x' || substr(md5(id || ':1'), 1, 16))::UBIGINT::BIT::BIGINT AS hash FROM (SELECT unnest(range(1, 10001)) AS id))"
+
+
+@query(f"SELECT q.hash AS target, t.hash AS match, t.id AS key FROM {_RANDOM} t JOIN {_RANDOM} q ON q.id % 20 = 0 AND {_IN.format('t.hash', 'q.hash', 3)}")
 def random_batch_join(spark: SparkSession, at: str) -> DataFrame:
     """Reproducible random hashes, searched around themselves: each finds at least itself."""
     rows = random_hashes(spark, 10_000)
@@ -336,3 +376,29 @@ def document_exact_copies(spark: SparkSession, at: str) -> DataFrame:
 def rows_by_origin(spark: SparkSession, at: str) -> DataFrame:
     origin = F.trim(F.lower("origin")).alias("origin")
     return table(spark, at, "test_batch_join").groupBy(origin).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("hash").alias("hashes"))
+
+
+@query("SELECT a FROM int8tmp_2 WHERE a IS NOT NULL")
+def hash_lines(spark: SparkSession, at: str) -> DataFrame:
+    """Hashes written one a line and read back."""
+    path = f"{Workspace(spark, 'lines').path}/lines"
+    table(spark, at, "int8tmp_2").where(F.col("a").isNotNull()).select(F.col("a").cast("string")).write.text(path)
+    return read_hash_lines(spark, path)
+
+
+@query("SELECT bit_count(xor(5::BIGINT, 6::BIGINT))::BIGINT AS distance, (-9)::BIGINT::BIT::VARCHAR AS bits, 1 = 1 AS equal, true AS inside")
+def scalar_functions(spark: SparkSession, at: str) -> DataFrame:
+    """Functions over constants, without a table."""
+    register(spark)
+    return spark.sql("SELECT hamming_distance(5, 6) AS distance, int64_to_bitstring(-9) AS bits, hash_equal(1, 1) AS equal, within_area(5, area(4, 1)) AS inside")
+
+
+@query("SELECT a, a::BIT::VARCHAR = repeat('0', 57) || '1100100' AS same FROM int8tmp_2")
+def bitstring_equality(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "int8tmp_2").select("a", (to_bitstring("a") == "0" * 57 + "1100100").alias("same"))
+
+
+@query(f"SELECT 'scan' AS strategy, 2::BIGINT AS targets, 3::BIGINT AS distance, count(*) AS results FROM test_batch_join JOIN (VALUES (100::BIGINT), (200)) AS t(target) ON {_IN.format('hash', 'target', 3)}")
+def search_plan_report(spark: SparkSession, at: str) -> DataFrame:
+    wanted = [100, 200]
+    return search_report(batch_search(stored(spark, at), "hash", wanted, 3, key="id"), wanted, 3)

@@ -10,9 +10,9 @@ def read_hash_lines(spark: SparkSession, path: str, column: str = "a") -> DataFr
 
 
 def random_hashes(spark: SparkSession, rows: int, seed: int = 1) -> DataFrame:
-    """(id, hash) with ids from 1 and reproducible, evenly spread hashes."""
+    """(id, hash) with ids from 1 and reproducible, evenly spread hashes: the first 64 bits of the MD5 of "id:seed"."""
     ids = spark.range(1, rows + 1)
-    return ids.select("id", F.xxhash64("id", F.lit(seed)).alias("hash"))
+    return ids.select("id", _leading_bits(F.md5(F.concat_ws(":", "id", F.lit(seed)))).alias("hash"))
 
 
 def targets(spark: SparkSession, values: list[int | None]) -> DataFrame:
@@ -32,6 +32,10 @@ def embedding_hash(column: str) -> Column:
     return F.when(F.length(bits) == 64, F.conv(bits, 2, -10).cast("bigint"))
 
 
+def _leading_bits(md5: Column) -> Column:
+    return F.conv(F.substring(md5, 1, 16), 16, -10).cast("bigint")
+
+
 def content_hash(column: str) -> Column:
     """The first 64 bits of the MD5 of a text."""
-    return F.conv(F.substring(F.md5(F.col(column)), 1, 16), 16, -10).cast("bigint")
+    return _leading_bits(F.md5(F.col(column)))

@@ -4,9 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bitnear import ball_filter, batch_search, choose_pivot, nearest, pivot_ball_filter, similarity_join, write_pivot_layout
+from bitnear import append_pivot_layout, ball_filter, batch_search, choose_pivots, nearest, pivot_ball_filter, similarity_join, write_pivot_layout
 from bitnear.plans import selectivity
-from bitnear.plans.shape import operators, physical_plan
+from bitnear.plans.shape import operators, physical_plan, search_report
 from bitnear.sources.hashes import append, random_hashes, read_hash_lines, targets
 from bitnear.streaming.search import stream_search
 
@@ -21,37 +21,75 @@ def skewed(rng):
     return near + list(range(40)) + [7] * 5 + [None] * 3
 
 
-@pytest.mark.parametrize("distance", [-1, 0, 1, 2, 3, 6, 8, 63, 64, 100])
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("distance", [-1, 0, 3, 7, 100])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti", "right", "full"])
 def test_strategies_agree_with_brute_force(spark, rows, distance, how):
     rng = random.Random(distance)
     a, b = skewed(rng)[::2], [*skewed(random.Random(distance))[::5], 7, 7]
     left = spark.createDataFrame([(i, h) for i, h in enumerate(a)], "id bigint, h bigint")
     right = spark.createDataFrame([(h, i) for i, h in enumerate(b)], "t bigint, id bigint")
     pairs = [(i, h, t, j) for (i, h), (j, t) in itertools.product(enumerate(a), enumerate(b)) if h is not None and t is not None and bits(h, t) <= distance]
-    met = {p[0] for p in pairs}
+    met, met_right = {p[0] for p in pairs}, {p[3] for p in pairs}
+    alone = [(None, None, t, j) for j, t in enumerate(b) if j not in met_right]
     want = {
         "inner": pairs,
         "left": pairs + [(i, h, None, None) for i, h in enumerate(a) if i not in met],
+        "right": pairs + alone,
+        "full": pairs + [(i, h, None, None) for i, h in enumerate(a) if i not in met] + alone,
         "left_semi": [(i, h) for i, h in enumerate(a) if i in met],
         "left_anti": [(i, h) for i, h in enumerate(a) if i not in met],
     }[how]
-    for strategy in ("scan", "bands", "auto"):
+    for strategy in ("scan", "bands", "pivot", "auto"):
         got = similarity_join(left, right, "h", "t", distance, how, strategy)
         assert got.columns == (["id", "h"] if how in ("left_semi", "left_anti") else ["id", "h", "t", "id_right"])
         assert rows(got) == sorted(want, key=repr), strategy
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti", "right", "full"])
 @pytest.mark.parametrize("distance", [1, "d"])
-def test_scan_in_blocks(spark, rows, monkeypatch, how, distance):
-    left = spark.createDataFrame([(i,) for i in [*range(60), 3, 3, None]], "a bigint")
-    right = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in [*range(50), 3]] + [(None, 2)], "b bigint, d bigint") if distance == "d" else spark.range(30).withColumnRenamed("id", "b")
-    want = rows(similarity_join(left, right, "a", "b", distance, how, "scan"))
+def test_scans_in_blocks_and_bands_by_row(spark, rows, monkeypatch, how, distance):
+    left = spark.createDataFrame([(i, "x" * 50) for i in [*range(60), 3, 3, None, 1 << 40]], "a bigint, s string")
+    right = spark.createDataFrame([(i, [0, 2, 5, 11, 30, 99, -1, None][i % 8]) for i in [*range(50), 3]] + [(None, 2), (-1, 3)], "b bigint, d bigint") if distance == "d" else spark.range(30).withColumnRenamed("id", "b")
+    pairs = [(a["a"], a["s"], *b) for a in left.collect() for b in right.collect() if a["a"] is not None and b["b"] is not None and b[-1] is not None and bits(a["a"], b["b"]) <= (b["d"] if distance == "d" else 1)]
+    got = similarity_join(left, right, "a", "b", distance, how, "scan")
+    if how == "inner":
+        assert rows(got) == sorted(pairs, key=repr)
+    want = rows(got)
+    assert rows(similarity_join(left, right, "a", "b", distance, how, "bands")) == want
     monkeypatch.setattr(selectivity, "BROADCAST_ROWS", 16)
+    again = similarity_join(left, right, "a", "b", distance, how, "scan")
+    assert rows(again) == want
+    monkeypatch.setattr(selectivity, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(selectivity, "BROADCAST_BYTES", 500)
     assert rows(similarity_join(left, right, "a", "b", distance, how, "scan")) == want
 
 
+def test_what_is_broadcast_is_measured(spark):
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS s", "array(id, id) AS l", "if(id > 50, 'y', null) AS t")
+    assert selectivity.fits(wide, 100, 1 << 20) and not selectivity.fits(wide, 99, 1 << 20) and not selectivity.fits(wide, 100, 100_000)
+    assert selectivity.fits(wide.where("false"))
+    assert selectivity.few_rows(wide, 100) == 100 and selectivity.few_rows(wide, 99) is None
+
+
+@pytest.mark.parametrize("how", ["right", "full", "left"])
+def test_no_join_broadcasts_a_large_side_whole(spark, monkeypatch, how):
+    monkeypatch.setattr(selectivity, "BROADCAST_ROWS", 100)
+    left, right = random_hashes(spark, 5000), random_hashes(spark, 4000, 2).withColumnRenamed("hash", "other")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(similarity_join(left, right, "hash", "other", 3, how, "bands"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("distance, blocks", [(0, 1), (3, 4), (4, 5), (7, 4), (8, 5), (12, 5), (16, 6), (30, None), (64, None), (-1, None)])
+def test_blocks_for_a_distance(distance, blocks):
+    assert selectivity.band_plan(distance) == blocks
+    if blocks:
+        assert len(selectivity.flip_masks(selectivity.bit_blocks(blocks)[0], 1)) in (1 + 64 // blocks, 2 + 64 // blocks)
+
+
 def test_distance_of_each_row_and_conditions(spark, rows):
     left = spark.createDataFrame([(1, 100), (2, 101), (3, 200)], "id bigint, h bigint")
     balls = spark.createDataFrame([(100, 0), (100, 1), (200, None), (None, 3), (200, -1)], "c bigint, d bigint")
@@ -67,7 +105,8 @@ def test_refusals(spark):
     for call, error in (
         (lambda: similarity_join(df, df, "id", "x", 1), 'column "x" does not exist'),
         (lambda: similarity_join(df, df, "id", "id", None), "distance cannot be NULL"),
-        (lambda: similarity_join(df, df, "id", "id", 1, "full", "bands"), "can't serve"),
+        (lambda: similarity_join(df, df, "id", "id", 1, "cross"), "there is no cross join"),
+        (lambda: similarity_join(df, df, "id", "id", 1, strategy="index"), "there is no strategy index"),
         (lambda: batch_search(df, "x", [1], 1), 'column "x" does not exist'),
         (lambda: batch_search(df, "id", [1, None], 1), "target array cannot contain NULL values"),
         (lambda: batch_search(df, "id", list(range(65)), 1, max_targets=64), "too many targets, maximum is 64"),
@@ -127,11 +166,19 @@ def test_join_shapes(spark):
 def test_strategy_choice(spark, monkeypatch):
     even = random_hashes(spark, 2000)
     dense = spark.range(2000).withColumnRenamed("id", "hash")
-    assert selectivity.choose(even, even, "hash", "hash", 3) == "scan"
-    monkeypatch.setattr(selectivity, "BANDS_FROM", 10**6)
-    assert selectivity.choose(even, even, "hash", "hash", 3) == "bands"
+    assert selectivity.choose(even, even.limit(10), "hash", "hash", 3) == "scan"
+    assert selectivity.choose(even, even, "hash", "hash", 3) == selectivity.choose(even, even, "hash", "hash", 8) == "bands"
     assert selectivity.choose(dense, dense, "hash", "hash", 3) == "scan"
-    assert selectivity.choose(even, even, "hash", "hash", 7) == selectivity.choose(even, even, "hash", "hash", -1) == "scan"
+    assert selectivity.choose(even, even, "hash", "hash", 40) == selectivity.choose(even, even, "hash", "hash", -1) == "scan"
+
+
+def test_search_report(spark):
+    rows = random_hashes(spark, 100)
+    found = batch_search(rows, "hash", [1, 2], 64, "id")
+    assert tuple(search_report(found, [1, 2], 64).first()) == ("scan", 2, 64, 200)
+    for strategy in ("bands", "pivot"):
+        wanted = rows.select("hash")
+        assert tuple(search_report(batch_search(rows, "hash", wanted, 2, "id", strategy=strategy), wanted, 2).first()) == (strategy, 100, 2, 100)
 
 
 def test_selectivity():
@@ -142,13 +189,28 @@ def test_selectivity():
 
 def test_pivot_layout(spark, rows, tmp_path):
     df = random_hashes(spark, 300).unionAll(spark.createDataFrame([(1000 + i, i) for i in range(60)] + [(2000, None)], "id bigint, hash bigint"))
-    pivot = choose_pivot(df, "hash")
-    write_pivot_layout(df, "hash", f"{tmp_path}/p", pivot)
+    more = spark.createDataFrame([(3000 + i, 9 ^ (1 << i)) for i in range(40)] + [(4000, None)], "id bigint, hash bigint")
+    path = f"{tmp_path}/p"
+    write_pivot_layout(df, "hash", path)
+    append_pivot_layout(more, path)
     for d in (-1, 0, 2, 5, 30, 64, 2**63 - 1):
-        got = pivot_ball_filter(spark, f"{tmp_path}/p", "hash", 9, d, pivot)
-        assert rows(got.select("id", "hash")) == rows(ball_filter(df, "hash", 9, d))
-    assert "PartitionFilters: [isnotnull(pivot_distance" in physical_plan(pivot_ball_filter(spark, f"{tmp_path}/p", "hash", 9, 2, pivot))
-    assert choose_pivot(df.where("false"), "hash") is None
+        got = pivot_ball_filter(spark, path, 9, d)
+        assert rows(got.select("id", "hash")) == rows(ball_filter(df.unionAll(more), "hash", 9, d))
+    plan = physical_plan(pivot_ball_filter(spark, path, 9, 2))
+    assert "PartitionFilters: [isnotnull(pivot_distance_0" in plan and "GreaterThanOrEqual(pivot_distance_1" in plan
+    assert choose_pivots(df.where("false"), "hash") == [] and len(choose_pivots(df, "hash", 3)) == 3
+    with pytest.raises(ValueError, match="own columns"):
+        write_pivot_layout(df.withColumn("pivot_distance_0", F.lit(1)), "hash", path)
+    write_pivot_layout(df.where("false"), "hash", path)
+    assert pivot_ball_filter(spark, path, 9, 64).count() == 0
+
+
+def test_pivots_read_few_rows(spark):
+    """In clustered data the pivot chosen is one that lets a ball skip most rows."""
+    near = [(b << 58) + (1 << i) for b in range(8) for i in range(40)] + [(0x5555555555555555 >> 1) ^ (1 << i) for i in range(50)]
+    pivot = choose_pivots(spark.createDataFrame([(h,) for h in near], "h bigint"), "h", 1)[0]
+    read = sum(abs(bits(h, pivot) - bits(near[-1], pivot)) <= 4 for h in near)
+    assert read < len(near) / 2
 
 
 def test_sources(spark, rows, tmp_path):
@@ -171,6 +233,10 @@ def test_stream(spark, rows, tmp_path):
     run = found.writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     run.awaitTermination()
     assert rows(spark.table("found")) == [(1, 100, 101)]
+    blocks = stream_search(stream, "h", targets(spark, [101, None, *range(10)]).select("target"), 1, most=3)
+    run = blocks.writeStream.format("memory").queryName("blocks").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert rows(spark.table("blocks")) == sorted([(1, 100, 101), *[(3, 7, t) for t in (3, 5, 6, 7)]], key=repr)
 
 
 def test_integer_range_predicates(spark):

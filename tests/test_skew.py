@@ -5,10 +5,9 @@ from bitnear import heavy_keys, per_key_join, skew_join
 from bitnear.operators import skew
 
 
-@pytest.fixture(params=[0, 10**6])
-def tables(spark, request, monkeypatch):
+@pytest.fixture
+def tables(spark):
     """A key with a third of all rows, one of middling weight, many rare ones, nulls and repeats."""
-    monkeypatch.setattr(skew, "LEAST_ROWS", request.param)
     left = [(9, i, "x") for i in range(400)] + [(8, i, "y") for i in range(60)] + [(i, i, None) for i in range(100, 800)] + [(None, 1, "z")] * 40
     right = [(9, 5, 1)] * 3 + [(8, 6, 2), (7, 7, 3), (None, 8, 4)] + [(i, i, 0) for i in range(100, 300)]
     return spark.createDataFrame(left, "key bigint, v bigint, s string"), spark.createDataFrame(right, "key bigint, v bigint, v_right bigint")
@@ -16,9 +15,6 @@ def tables(spark, request, monkeypatch):
 
 def test_heavy_keys(spark, tables):
     left, _ = tables
-    if skew.LEAST_ROWS:
-        assert heavy_keys(left, "key", 0.04).collect() == []
-        return
     assert {r[0] for r in heavy_keys(left, "key", 0.04).collect()} == {8, 9}
     assert heavy_keys(left.where("false"), "key").collect() == []
     assert heavy_keys(left.where("key is null"), "key").collect() == []
