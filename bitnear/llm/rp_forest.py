@@ -13,12 +13,19 @@ in a leaf of cost c with c * T + t <= r. The queue is ordered by just that numbe
 hold every hash of the ball: recall is 1 however well the trees fit, and only speed depends on the sample they are
 fitted on. The candidates in the leaves are then reranked by their exact distance.
 
+The upper levels of the trees are fitted at the driver, on a sample of bounded size. How many rows of the whole table a leaf
+then holds is known from the sample, and so is the number of levels that it lacks. Those are fitted on the executors, on up
+to FIT_ROWS rows of each leaf: all nodes of a level below a leaf test the same coordinate, so that a leaf's levels are a
+few bytes, and the forest that is broadcast stays as small as the sample makes it while its cells keep to LEAF_ROWS rows.
+
 As costs are small integers, the queue is an array of buckets, and whole buckets are popped at once for many queries.
+Cells of clustered hashes may still hold many rows. Probes and entries both come from a shuffle on the cell and nothing above
+their join needs that partitioning, so adaptive execution may split the partition of such a cell on either side.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +35,34 @@ from pyspark.sql import functions as F
 from bitnear.operators.skew import skew_join
 from bitnear.runtime import Workspace, slots
 
-#: Hashes that the splits are fitted on, at most; 1 MB at the driver. All hashes are indexed.
+#: Hashes that the upper levels are fitted on, at most; 1 MB at the driver. All hashes are indexed.
 SAMPLE_ROWS = 131_072
-#: Rows of the whole table that a leaf should hold.
-LEAF_ROWS = 32
+#: Rows of the sample that a leaf of the upper levels should hold.
+LEAST_SAMPLE = 64
+#: Rows that the lower levels of a leaf are fitted on, about.
+FIT_ROWS = 100
+#: Rows of the whole table that a cell should hold.
+LEAF_ROWS = 16
+#: Cost of a probe and of an entry of the index, in candidates.
+PROBE_COST, ENTRY_COST = 4, 3
+#: Most levels below a leaf.
+MOST_LEVELS = 32
 
 
 @dataclass(frozen=True)
 class Tree:
-    """coordinate[n]: the bit that node n tests, -1 in a leaf. child[n]: the child for 0; the one for 1 follows it."""
+    """coordinate[n]: the bit that node n tests, -1 in a leaf. child[n]: the child for 0; the one for 1 follows it.
+
+    coordinates: all bits of the tree. rows[n]: about how many rows of the whole table a leaf holds. below[n]: how many
+    levels are under a leaf, which test order[n, 0], order[n, 1], ...
+    """
 
     coordinate: np.ndarray
     child: np.ndarray
+    coordinates: np.ndarray
+    rows: np.ndarray
+    below: np.ndarray
+    order: np.ndarray
 
 
 def fit_tree(sample: np.ndarray, coordinates: np.ndarray, least: float, rng: np.random.Generator) -> Tree:
@@ -60,7 +83,9 @@ def fit_tree(sample: np.ndarray, coordinates: np.ndarray, least: float, rng: np.
         pick = np.argmax(np.where(share >= 0.3, 1 + rng.random(share.shape), share), axis=0)
         split = (size > least) & (share[pick, np.arange(n)] > 0)
         if not split.any():
-            return Tree(np.concatenate(coordinate), np.concatenate(child))
+            whole = np.concatenate(coordinate)
+            held = np.bincount(at, minlength=len(whole)).astype(np.float64)
+            return Tree(whole, np.concatenate(child), coordinates, held, np.zeros(len(whole), np.int8), np.zeros((len(whole), MOST_LEVELS), np.int8))
         parents, next_start = np.flatnonzero(split), start + n
         coordinate[-1][parents] = coordinates[pick[parents]]
         child[-1][parents] = next_start + 2 * np.arange(len(parents))
@@ -75,14 +100,90 @@ def fit_tree(sample: np.ndarray, coordinates: np.ndarray, least: float, rng: np.
         start = next_start
 
 
-def fit_forest(sample: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> list[Tree]:
-    """As many trees as the coordinates allow at the depth that the number of rows asks for, 2 to 16."""
-    depth = ceil(log2(max(rows / leaf_rows, 16)))
-    trees = min(16, max(2, 64 // depth))
+def _depth(rows: int, leaf_rows: int, trees: int) -> int:
+    return min(64 // trees, ceil(log2(max(rows / leaf_rows, 16))))
+
+
+def cells_popped(radius: int, trees: int, depth: int) -> int:
+    """How many cells the queue gives up to a radius."""
+    return sum(comb(depth, c) for t in range(trees) for c in range(max(0, (radius - t) // trees + 1) if radius >= t else 0))
+
+
+def choose_trees(rows: int, balls: dict[int, int], leaf_rows: int = LEAF_ROWS) -> int:
+    """The number of trees for which entries, probes and candidates of the balls, given by radius, cost least."""
+
+    def cost(trees: int) -> float:
+        depth = _depth(rows, leaf_rows, trees)
+        each = PROBE_COST + rows / 2**depth
+        return ENTRY_COST * rows * trees + sum(n * each * cells_popped(min(r, 16), trees, depth) for r, n in balls.items())
+
+    return min(range(2, 17), key=cost)
+
+
+def fit_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> list[Tree]:
+    """The upper levels of trees that share out the coordinates."""
     rng = np.random.default_rng(seed)
     groups = np.array_split(rng.permutation(64), trees)
-    least = max(1.0, leaf_rows * len(sample) / max(rows, 1))
-    return [fit_tree(sample, np.sort(g), least, rng) for g in groups]
+    scale = rows / max(len(sample), 1)
+    forest = [fit_tree(sample, np.sort(g), max(LEAST_SAMPLE, leaf_rows / scale if scale else 1), rng) for g in groups]
+    for tree in forest:
+        tree.rows[:] *= scale
+    return forest
+
+
+def fit_levels(hashes: np.ndarray, coordinates: np.ndarray, levels: int) -> np.ndarray:
+    """Up to so many coordinates, each the one that parts the rows best that those before it have left together."""
+    bits = ((hashes[None, :] >> coordinates[:, None]) & 1).astype(np.int64)
+    ones = bits.sum(axis=1)
+    balance = np.minimum(ones, len(hashes) - ones)
+    free, chosen, cell = balance > 0, [], np.zeros(len(hashes), np.int64)
+    while len(chosen) < levels and free.any():
+        n = int(cell.max(initial=0)) + 1
+        key = (np.arange(len(bits))[:, None] * 2 + bits) * n + cell
+        parted = np.bincount(key.ravel(), minlength=2 * n * len(bits)).reshape(len(bits), 2, n).min(axis=1).sum(axis=1)
+        best = int(np.argmax(np.where(free, parted * (len(hashes) + 1) + balance, -1)))
+        free[best] = False
+        chosen.append(coordinates[best])
+        _, cell = np.unique(cell * 2 + bits[best], return_inverse=True)
+    return np.array(chosen, np.int8)
+
+
+def fit_below(distinct: DataFrame, forest: list[Tree], leaf_rows: int) -> None:
+    """Fit the levels below the leaves on rows of the whole table, on the executors, and put them into the trees.
+
+    What comes back is one row a leaf, and there are at most SAMPLE_ROWS / LEAST_SAMPLE * 2 leaves a tree.
+    """
+    spark = distinct.sparkSession
+    shared = spark.sparkContext.broadcast(forest)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, draw = np.asarray(b.column("hash"), dtype=np.int64), np.asarray(b.column("draw"))
+            for t, tree in enumerate(shared.value):
+                leaf = leaves(tree, h)
+                on = (tree.rows[leaf] > leaf_rows) & (draw * tree.rows[leaf] < FIT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array((t << 32) + leaf[on]), pa.array(h[on])], ["leaf", "hash"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        leaf, h = np.asarray(table.column("leaf")), np.asarray(table.column("hash"))
+        order = np.argsort(leaf, kind="stable")
+        leaf, h = leaf[order], h[order]
+        start = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+        out = []
+        for a, b in zip(start, np.append(start[1:], len(leaf)), strict=True):
+            tree, node = shared.value[leaf[a] >> 32], leaf[a] & 0xFFFFFFFF
+            lacking = min(MOST_LEVELS, ceil(log2(tree.rows[node] / leaf_rows)))
+            out.append(fit_levels(h[a:b], tree.coordinates, lacking).tobytes())
+        return pa.table({"leaf": leaf[start], "levels": pa.array(out, pa.binary())})
+
+    draw = F.pmod(F.xxhash64("hash", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    rows = distinct.select("hash", draw.alias("draw")).mapInArrow(place, "leaf bigint, hash bigint")
+    bins = F.pmod(F.xxhash64("leaf"), F.lit(4 * slots(spark)))
+    found = rows.groupBy(bins.alias("bin")).applyInArrow(fit, "leaf bigint, levels binary").toArrow()
+    for leaf, levels in zip(found.column("leaf").to_pylist(), found.column("levels").to_pylist(), strict=True):
+        tree, node = forest[leaf >> 32], leaf & 0xFFFFFFFF
+        tree.below[node] = len(levels)
+        tree.order[node, : len(levels)] = np.frombuffer(levels, np.int8)
 
 
 def leaves(tree: Tree, hashes: np.ndarray) -> np.ndarray:
@@ -96,31 +197,55 @@ def leaves(tree: Tree, hashes: np.ndarray) -> np.ndarray:
         node[go] = tree.child[node[go]] + ((hashes[go] >> c[go].astype(np.int64)) & 1)
 
 
+def cell_number(t: int, leaf: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """path: the bits tested below the leaf, after a leading 1."""
+    return (t << 58) + (leaf << 34) + path
+
+
+def cells(tree: Tree, t: int, hashes: np.ndarray) -> np.ndarray:
+    """The cell of each hash."""
+    leaf = leaves(tree, hashes)
+    path, below = np.ones(len(hashes), np.int64), tree.below[leaf]
+    for j in range(int(below.max(initial=0))):
+        on = np.flatnonzero(below > j)
+        path[on] = 2 * path[on] + ((hashes[on] >> tree.order[leaf[on], j].astype(np.int64)) & 1)
+    return cell_number(t, leaf, path)
+
+
 def pop_all(forest: list[Tree], centers: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, cell) of all leaves that the shared queue gives up to each query's radius. cell: tree << 32 | leaf."""
+    """(query, cell) of all cells that the shared queue gives up to each query's radius."""
     trees = len(forest)
     last = int(min(radius.max(initial=-1), 64))
-    queue: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(last + 1)]
+    queue: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(last + 1)]
     for t in range(min(trees, last + 1)):
-        queue[t].append((np.flatnonzero(radius >= t), np.zeros(int((radius >= t).sum()), np.int64)))
+        query = np.flatnonzero(radius >= t)
+        queue[t].append((query, np.zeros(len(query), np.int64), np.ones(len(query), np.int64), np.zeros(len(query), np.int64)))
     for priority in range(last + 1):
         t = priority % trees
         tree = forest[t]
-        for query, node in queue[priority]:
+        for query, node, path, level in queue[priority]:
             while len(query):
-                c = tree.coordinate[node].astype(np.int64)
-                end = c < 0
+                split = tree.coordinate[node].astype(np.int64)
+                upper = split >= 0
+                end = ~upper & (level >= tree.below[node])
                 if end.any():
-                    yield query[end], (t << 32) + node[end]
-                    query, node, c = query[~end], node[~end], c[~end]
+                    yield query[end], cell_number(t, node[end], path[end])
+                    query, node, path, level, split, upper = (x[~end] for x in (query, node, path, level, split, upper))
                     if not len(query):
                         break
+                c = np.where(upper, split, tree.order[node, np.where(upper, 0, level)])
                 bit = (centers[query] >> c) & 1
-                first = tree.child[node].astype(np.int64)
+                first = np.where(upper, tree.child[node], node)
+                level = np.where(upper, level, level + 1)
+
+                def side(b: np.ndarray, first=first, upper=upper, path=path) -> tuple[np.ndarray, np.ndarray]:
+                    return np.where(upper, first + b, first), np.where(upper, path, 2 * path + b)
+
                 if priority + trees <= last:
                     further = radius[query] >= priority + trees
-                    queue[priority + trees].append((query[further], (first + 1 - bit)[further]))
-                node = first + bit
+                    other, way = side(1 - bit)
+                    queue[priority + trees].append((query[further], other[further], way[further], level[further]))
+                node, path = side(bit)
         queue[priority] = []
 
 
@@ -152,20 +277,25 @@ def nearest_in_balls(
         .withColumn("place", F.row_number().over(by_id))
         .where(F.col("place") <= k)  # planned as a limit per group before the shuffle, so no hot hash is gathered
         .groupBy("hash")
-        .agg(F.collect_list("id").alias("ids")),
+        .agg(F.min("id").alias("id"), F.collect_list(F.when(F.col("place") > 1, F.col("id"))).alias("more")),
         "hashes",
     )
     rows = distinct.count()
+    wanted = balls.select(F.col(center).cast("bigint").alias("center"), F.col(distance).cast("bigint").alias("distance"))
+    wanted = wanted.where(F.col("center").isNotNull() & (F.col("distance") >= 0)).withColumn("distance", F.least("distance", F.lit(64)))
+    wanted = work.write(wanted.distinct(), "balls")
+    by_radius = {r["distance"]: r["n"] for r in wanted.groupBy("distance").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
     chosen = distinct.where(F.pmod(F.xxhash64("hash", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample_rows / max(rows, 1)) * (1 << 30)))
     sample = np.asarray(chosen.select("hash").limit(sample_rows).toArrow().column("hash"), dtype=np.int64)
-    shared = spark.sparkContext.broadcast(fit_forest(sample, rows, leaf_rows))  # under 6 bytes a sampled row and tree
+    forest = fit_forest(sample, rows, choose_trees(rows, by_radius, leaf_rows), leaf_rows)
+    fit_below(distinct, forest, leaf_rows)
+    shared = spark.sparkContext.broadcast(forest)  # about 2 bytes a sampled row and tree
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.asarray(b.column("hash"), dtype=np.int64)
-            cells = np.stack([(t << 32) + leaves(tree, h) for t, tree in enumerate(shared.value)], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("hash"), b.column("ids"), lists], ["hash", "ids", "cells"])
+            for t, tree in enumerate(shared.value):
+                yield pa.RecordBatch.from_arrays([b.column("hash"), b.column("id"), pa.array(cells(tree, t, h))], ["hash", "id", "cell"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,17 +304,23 @@ def nearest_in_balls(
                 for query, cell in pop_all(shared.value, c[at : at + 1024], r[at : at + 1024]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[at + query], r[at + query], cell)], ["center", "distance", "cell"])
 
-    wanted = balls.select(F.col(center).cast("bigint").alias("center"), F.col(distance).cast("bigint").alias("distance"))
-    wanted = wanted.where(F.col("center").isNotNull() & (F.col("distance") >= 0)).withColumn("distance", F.least("distance", F.lit(64)))
-    probes = wanted.distinct().repartition(slots(spark)).mapInArrow(search, "center bigint, distance bigint, cell bigint")
-    entries = distinct.mapInArrow(assign, "hash bigint, ids array<bigint>, cells array<bigint>").select("hash", "ids", F.explode("cells").alias("cell"))
+    probes = wanted.repartition(slots(spark)).mapInArrow(search, "center bigint, distance bigint, cell bigint")
+    entries = distinct.select("hash", "id").mapInArrow(assign, "hash bigint, id bigint, cell bigint")
     d = F.bit_count(F.col("hash").bitwiseXOR(F.col("center"))).cast("bigint")
     found = probes.join(entries, (probes["cell"] == entries["cell"]) & (d <= F.col("distance")))
-    found = found.select("center", "distance", d.alias("hamming_distance"), F.explode("ids").alias("id"))
-    # a hash met in several trees has the same rank each time; the limit per group again comes before the shuffle
+    found = found.select("center", "distance", d.alias("hamming_distance"), "hash", "id")
+    # k hashes by their least ids have the k rows wanted among theirs. A hash met in several trees has the same rank each
+    # time; the limit per group comes before the shuffle
     ranks = Window.partitionBy("center", "distance").orderBy("hamming_distance", "id")
-    best = found.withColumn("place", F.dense_rank().over(ranks)).where(F.col("place") <= k)
-    return work.write(best.groupBy("center", "distance", "id").agg(F.min("hamming_distance").alias("hamming_distance")), "nearest")
+    near = found.withColumn("place", F.dense_rank().over(ranks)).where(F.col("place") <= k).drop("place").distinct()
+    near = work.write(near, "near")
+    several = distinct.where(F.size("more") > 0).select("hash", "more")
+    every = near.join(several, "hash", "left").withColumn("id", F.explode(F.concat(F.array("id"), F.coalesce("more", F.array().cast("array<bigint>")))))
+    best = every.withColumn("place", F.row_number().over(ranks)).where(F.col("place") <= k)
+    best = work.write(best.select("center", "distance", "id", "hamming_distance"), "nearest")
+    for name in ("hashes", "balls", "near"):
+        work.drop(name)
+    return best
 
 
 def nearest_by_area(balls: DataFrame, key: str, center: str, distance: str, stored: DataFrame, hash_column: str, id_column: str, k: int) -> DataFrame:

@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from bitnear.llm.rp_forest import fit_forest, leaves, nearest_by_area, nearest_in_balls, pop_all
+from bitnear.llm import rp_forest
+from bitnear.llm.rp_forest import cells, cells_popped, choose_trees, fit_below, fit_forest, fit_levels, nearest_by_area, nearest_in_balls, pop_all
 
-pytestmark = pytest.mark.usefixtures("least_rows")
 
 
 def bits(a, b):
@@ -24,21 +24,24 @@ def data(rng):
     return [(i * 3, h) for i, h in enumerate(stored)] + [(9001, None), (None, 5)]
 
 
-def test_the_queue_gives_up_every_leaf_within_the_radius():
+@pytest.mark.parametrize("trees", [2, 3, 5])
+def test_the_queue_gives_up_every_cell_within_the_radius(spark, trees):
     rng = np.random.default_rng(1)
     hashes = rng.integers(-(2**63), 2**63 - 1, 3000)
-    forest = fit_forest(hashes[:1000], len(hashes), 16)
-    assert len(forest) > 2 and all((t.coordinate >= 0).any() for t in forest)
-    cells = [{int(h): (t << 32) + int(c) for h, c in zip(hashes, leaves(tree, hashes), strict=True)} for t, tree in enumerate(forest)]
+    forest = fit_forest(hashes[:1000], len(hashes), trees, 4)
+    fit_below(spark.createDataFrame([(int(h),) for h in hashes], "hash bigint"), forest, 4)
+    assert all((t.coordinate >= 0).any() and t.below.max() > 1 for t in forest)
+    cell = [dict(zip(hashes.tolist(), cells(tree, t, hashes).tolist(), strict=True)) for t, tree in enumerate(forest)]
+    assert all(len(set(c.values())) > 300 for c in cell)
     for r in (0, 3, 7, 12):
         flips = np.bitwise_xor.reduce(np.int64(1) << rng.permuted(np.tile(np.arange(63), (50, 1)), axis=1)[:, :r], axis=1) if r else np.zeros(50, np.int64)
         centers = hashes[:50] ^ flips
         popped = [set() for _ in centers]
-        for query, cell in pop_all(forest, centers, np.full(50, r)):
-            for q, c in zip(query.tolist(), cell.tolist(), strict=True):
+        for query, own in pop_all(forest, centers, np.full(50, r)):
+            for q, c in zip(query.tolist(), own.tolist(), strict=True):
                 assert c not in popped[q]
                 popped[q].add(c)
-        assert all(any(c[int(h)] in own for c in cells) for h, own in zip(hashes[:50], popped, strict=True))
+        assert all(any(c[int(h)] in own for c in cell) for h, own in zip(hashes[:50], popped, strict=True))
     assert not list(pop_all(forest, hashes[:2], np.array([-1, -5])))
 
 
@@ -76,3 +79,24 @@ def test_many_rows_may_name_one_ball(spark, rows):
         if c is not None and d is not None:
             want += [(a, i, n) for n, i in sorted((bits(c, i % 50), i) for i in range(200) if bits(c, i % 50) <= d)[:4]]
     assert rows(nearest_by_area(left, "id", "center", "ball", right, "hash", "id", 4)) == sorted(want, key=repr)
+
+
+def test_levels_part_rows_that_earlier_ones_left_together():
+    rng = np.random.default_rng(2)
+    same = rng.integers(0, 2, 200)
+    hashes = same * 0b0111 + (rng.integers(0, 2, 200) << 3) + (rng.integers(0, 5, 200) // 4 << 4)
+    chosen = fit_levels(hashes, np.arange(8), 3).tolist()
+    assert len(set(chosen) & {0, 1, 2}) == 1 and set(chosen) >= {3, 4}
+    assert len(fit_levels(hashes, np.arange(8), 99)) == 5 and len(fit_levels(hashes[:1], np.arange(8), 3)) == 0
+
+
+def test_candidates_do_not_follow_the_table():
+    """Candidates of a ball, that is rows of the cells popped, in evenly spread tables of 2 million rows up to 2 billion."""
+
+    def candidates(rows, radius=8):
+        trees = choose_trees(rows, {radius: rows // 20})
+        depth = rp_forest._depth(rows, rp_forest.LEAF_ROWS, trees)
+        return cells_popped(radius, trees, depth) * rows / 2**depth
+
+    few, more, many = (candidates(2 * 10**n) for n in (6, 7, 9))
+    assert more < 2 * few and many < 1000 * few / 10
