@@ -70,6 +70,16 @@ def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return top_in_groups(rows, "target_hash", 3, hamming("target_hash", "match_hash"), ["match_hash", "match_tid"])
 
 
+@query(
+    "SELECT source, doc_id, n_chars, rating FROM (SELECT trim(lower(source)) AS source, doc_id, n_chars, rating, row_number() OVER (PARTITION BY trim(lower(source)) "
+    "ORDER BY -n_chars / greatest(rating, 1), doc_id) AS place FROM documents WHERE source IS NOT NULL AND rating IS NOT NULL) WHERE place <= 10"
+)
+def p3_best_reviews(spark: SparkSession, at: str) -> DataFrame:
+    """The ten best reviews of each source by a score with thousands of values: length over rating."""
+    rows = table(spark, at, "documents").select(F.trim(F.lower("source")).alias("source"), "doc_id", "n_chars", "rating")
+    return top_in_groups(rows, "source", 10, -F.col("n_chars") / F.greatest("rating", F.lit(1)), ["doc_id"])
+
+
 @query(
     # s: 0 undecided, 1 accepted, 2 a case; hashes accepted before have place 0 and those of the table follow in order
     "WITH RECURSIVE k AS (SELECT DISTINCT a AS h, 0 AS place FROM int8tmp_2 WHERE a IS NOT NULL), "

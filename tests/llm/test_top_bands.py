@@ -3,13 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bitnear.llm.top_bands import band_borders, top_in_groups
+from bitnear.llm.top_bands import band_shares, top_in_groups
 
 
-def test_borders():
-    assert band_borders([], 5) == []
-    assert band_borders([(0, 10), (1, 1), (2, 30), (9, 99)], 8, 4) == [0, 2, 9]
-    assert band_borders([(3, 1)], 8) == []
+def test_each_band_holds_twice_the_one_above():
+    assert band_shares(0, 5) == band_shares(5, 5) == []
+    assert band_shares(1000, 100) == [0.1, 0.3, 0.7]
+    assert band_shares(250, 100) == [0.4]
 
 
 @pytest.mark.parametrize("n", [1, 3, 1000])
@@ -33,3 +33,21 @@ def test_low_bands_fill_what_high_bands_leave(spark, rows):
     df = spark.createDataFrame(some, "g bigint, b bigint, c bigint")
     got = rows(top_in_groups(df, "g", 2, F.col("b"), ["b", "c"]))
     assert got == sorted([(g, b, 0) for g in range(50) for b in range(2)] + [(99, 40, 0), (99, 41, 0), (98, 0, 0), (98, 45, 0)], key=repr)
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(20,3)", "bigint"])
+def test_any_score(spark, rows, kind):
+    """Thousands of values, negative ones and a few rows that hold most of the range, with groups of very unequal sizes."""
+    rng = random.Random(5)
+    some = [(1, i) for i in range(4000)] + [(rng.randrange(2, 300), 10_000 + i) for i in range(2000)]
+    score = {i: rng.choice([rng.gauss(0, 1000), rng.uniform(-5, 5), 1e9]) // (1 if kind == "bigint" else 0.125) for _, i in some}
+    df = spark.createDataFrame([(g, i, float(score[i])) for g, i in some], "g bigint, i bigint, s double").withColumn("s", F.col("s").cast(kind))
+    want = []
+    for g in {g for g, _ in some}:
+        want += [(g, i) for i in sorted((i for x, i in some if x == g), key=lambda i: (score[i], i))[:3]]
+    assert rows(top_in_groups(df, "g", 3, F.col("s"), ["i"]).select("g", "i")) == sorted(want, key=repr)
+
+
+def test_nan_comes_last(spark, rows):
+    df = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 5.0), (2, 3, float("nan")), (2, 4, None)], "g bigint, i bigint, s double")
+    assert rows(top_in_groups(df, "g", 1, F.col("s"), ["i"]).select("g", "i")) == [(1, 2), (2, 3)]
