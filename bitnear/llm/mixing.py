@@ -5,6 +5,10 @@ documents alike; only the fraction left is sampled. For it every document draws
 weight (ascending keys are a weighted sample without replacement); documents are sorted by key within their source and
 taken as long as the prefix sum of their tokens stays within the budget.
 
+The quality of a text is how ordinary its tokens are: the mean surprisal of its tokens under the unigram frequencies of the
+whole corpus, against the mean and the spread of all texts. Repeated phrases and templates are less surprising than the
+rest, broken encoding and markup more; both count less. Each text is tokenized once, for its size and for this.
+
 The sort is one range partitioning on (source, key), so a source of any size is spread over many tasks. The prefix sum
 takes one sum per partition and source first; only the one partition of each source in which its budget ends is then
 summed document by document.
@@ -14,12 +18,16 @@ import base64
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitnear.runtime import Workspace, slots, spread
 
+#: Texts tokenized at once.
+ENCODE_ROWS = 500
+
 
 @cache
 def _encoder(path: str, pattern: str):
@@ -37,31 +45,54 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def token_counts(documents: DataFrame, text: str, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """documents without the text, with a bigint column tokens in its place; null and empty texts have 0.
+def token_ids(documents: DataFrame, text: str, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """documents without the text, with array<int> ids and bigint tokens in its place; null and empty texts have none.
 
     Strings that name special tokens are ordinary text. The vocabulary's path must exist on every executor.
     """
     path, pattern = vocabulary or public_vocabulary()
-    schema = documents.drop(text).withColumn("tokens", F.lit(0).cast("bigint")).schema
+    schema = documents.drop(text).withColumn("ids", F.array().cast("array<int>")).withColumn("tokens", F.lit(0).cast("bigint")).schema
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODE_ROWS):
+                b = whole.slice(at, ENCODE_ROWS)
+                ids = [encoder.encode_ordinary(t) if t else [] for t in b.column(text).to_pylist()]
+                rest = [c for c in b.schema.names if c != text]
+                columns = [*[b.column(c) for c in rest], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*rest, "ids", "tokens"])
+
+    return documents.mapInArrow(encode, schema)
+
+
+def surprisals(tokenized: DataFrame) -> DataFrame:
+    """tokenized with a double surprisal: the mean of -log2 of the corpus frequency of a text's tokens, null without any.
+
+    The frequencies come from all texts. They are collected, one number a token of the vocabulary, and broadcast.
+    """
+    counted = tokenized.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    ids, n = (np.asarray(counted.column(c)) for c in ("id", "n"))
+    bits = np.zeros(int(ids.max(initial=0)) + 1)
+    bits[ids] = -np.log2(n / max(int(n.sum()), 1))
+    shared = tokenized.sparkSession.sparkContext.broadcast(bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode_ordinary
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in b.column(text)], pa.int64())
-            rest = [c for c in b.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], n], [*rest, "tokens"])
+            lists = b.column("ids")
+            lengths = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            total = np.concatenate([[0.0], np.cumsum(shared.value[np.asarray(lists.flatten())])])
+            ends = np.cumsum(lengths)
+            mean = (total[ends] - total[ends - lengths]) / np.maximum(lengths, 1)
+            yield b.append_column("surprisal", pa.array(mean, pa.float64(), mask=lengths == 0))
 
-    return documents.mapInArrow(count, schema)
+    return tokenized.mapInArrow(score, tokenized.withColumn("surprisal", F.lit(None).cast("double")).schema)
 
 
-def quality_weight(text: str, rating: str) -> Column:
-    """A weight from 0.05 to 2: the share of letters and white space, more for longer texts, half for a rating out of range."""
-    n = F.length(text)
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.greatest(n, F.lit(1))
-    weight = letters * (0.5 + F.least(n, F.lit(1000)) / 1000)
-    rated = F.when(F.col(rating).isNull() | F.col(rating).between(1, 5), 1.0).otherwise(0.5)
-    return F.greatest(F.coalesce(weight, F.lit(0.0)) * rated, F.lit(0.05))
+def quality_weight(mean: float, spread: float) -> Column:
+    """From 0.05 to 1: 1 for a text of the corpus' mean surprisal, less by a normal curve for one that is off; 0.05 without tokens."""
+    off = (F.col("surprisal") - F.lit(mean)) / F.lit(max(spread, 1e-9))
+    return F.greatest(F.coalesce(F.exp(-off * off / 2), F.lit(0.0)), F.lit(0.05))
 
 
 def normalised(source: str) -> Column:
@@ -99,11 +130,11 @@ def mix_sources(
     key: str,
     source: str,
     text: str,
-    weight: Column,
+    weight: Column | None,
     targets: DataFrame,
     total_tokens: float | None = None,
     seed: int = 3,
-    counter: Callable[[DataFrame, str], DataFrame] = token_counts,
+    counter: Callable[[DataFrame, str], DataFrame] = token_ids,
 ) -> Mix:
     """A mix in which each source of targets (source, target_share, max_repeats) has its share of total_tokens.
 
@@ -113,7 +144,8 @@ def mix_sources(
     a target can't be reached all there is is used, and the shares say so. Sources without documents come out with 0
     tokens. The document on the border of a budget is taken if that brings the sum nearer to it, so a share is met to
     half a document. Empty texts have 0 tokens, and are used like others. Keys must be unique bigints; the same seed
-    gives the same mix. Weights that are null or not positive count as 1e-9.
+    gives the same mix. weight is an expression over the documents, None the quality described above (which needs a counter
+    that gives ids); weights that are null or not positive count as 1e-9.
 
     The default total is the largest with which every target that has documents is reached; sources without any leave
     their share to the others in proportion.
@@ -125,10 +157,18 @@ def mix_sources(
     if len({r[0] for r in wanted}) < len(wanted):
         raise ValueError("a source stands in the targets twice")
     names = spark.createDataFrame([(r[0],) for r in wanted], "source string")
-    unit = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)).cast("double") + 1) / float(1 << 52)
-    rows = spread(documents.select(F.col(key).cast("bigint").alias("key"), normalised(source).alias("source"), F.coalesce(weight, F.lit(0.0)).alias("w"), F.col(text).alias("text")))
-    rows = counter(rows.join(F.broadcast(names), "source", "left_semi").select("key", "source", "w", "text"), "text")
-    drawn = work.write(rows.select("key", "source", "tokens", (-F.log(unit) / F.greatest("w", F.lit(1e-9))).alias("draw")), "drawn")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "key", F.lit(seed))), 1, 13), 16, 10).cast("double")  # 52 bits
+    unit = (draw + 1) / float(1 << 52)
+    own = weight if weight is not None else F.lit(None).cast("double")
+    rows = spread(documents.select(F.col(key).cast("bigint").alias("key"), normalised(source).alias("source"), own.cast("double").alias("w"), F.col(text).alias("text")))
+    rows = work.write(counter(rows.join(F.broadcast(names), "source", "left_semi").select("key", "source", "w", "text"), "text"), "counted")
+    if weight is None:
+        scored = work.write(surprisals(rows).select("key", "source", "tokens", "surprisal"), "scored")
+        about = scored.agg(F.mean("surprisal").alias("mean"), F.stddev("surprisal").alias("spread")).first()
+        rows = scored.withColumn("w", quality_weight(about["mean"] or 0.0, about["spread"] or 0.0))
+    chance = -F.log(unit) / F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(1e-9))
+    drawn = work.write(rows.select("key", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), chance.alias("draw")), "drawn")
+    work.drop("counted")
     available = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row per target
     plan = budgets(wanted, available, total_tokens)
     goals = F.broadcast(spark.createDataFrame([(s, e, r) for s, *_, e, r in plan], "source string, epochs int, rest double"))
@@ -142,7 +182,8 @@ def mix_sources(
     whole = (F.col("before") + F.col("own") <= F.col("rest")) & (F.col("rest") > 0)
     border = ~whole & (F.col("before") < F.col("rest"))
     running = Window.partitionBy("source", "part").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.col("before") + F.sum("tokens").over(running) - F.col("tokens") / 2 < F.col("rest")
+    until = F.col("before") + F.sum("tokens").over(running)
+    inside = (until - F.col("tokens") / 2 < F.col("rest")) | (until <= F.col("rest")) & (F.col("rest") > 0)
     split = placed.where(border).withColumn("copies", F.col("epochs") + inside.cast("int"))
     other = placed.where(~border).withColumn("copies", F.col("epochs") + whole.cast("int"))
     columns = ["key", "source", "tokens", "copies"]

@@ -9,7 +9,7 @@ from bitnear.functions.bits import hamming
 from bitnear.llm.components import consolidate_matches
 from bitnear.llm.fm_index import leaked_spans, removal_spans
 from bitnear.llm.incremental import repeated_rows
-from bitnear.llm.mixing import Mix, mix_sources, quality_weight
+from bitnear.llm.mixing import Mix, mix_sources
 from bitnear.llm.rp_forest import nearest_by_area
 from bitnear.llm.shared_spans import shared_share, shared_spans
 from bitnear.llm.top_bands import top_in_groups
@@ -118,8 +118,8 @@ def p6_removal_spans(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, at: str) -> Mix:
-    documents = table(spark, at, "documents").select("doc_id", "source", "text", "rating")
-    return mix_sources(documents, "doc_id", "source", "text", quality_weight("text", "rating"), table(spark, at, "mix_targets"))
+    documents = table(spark, at, "documents").select("doc_id", "source", "text")
+    return mix_sources(documents, "doc_id", "source", "text", None, table(spark, at, "mix_targets"))
 
 
 @query()
@@ -132,6 +132,45 @@ def p7_shares(spark: SparkSession, at: str) -> DataFrame:
     return _mix(spark, at).shares
 
 
+def _count_words(documents: DataFrame, text: str) -> DataFrame:
+    return documents.withColumn("tokens", F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\r\n]+"), F.lit(0))).cast("bigint")).drop(text)
+
+
+def _mix_in_words(spark: SparkSession, at: str) -> Mix:
+    """The same mixer over a size and a weight that SQL can express too: words, and the rating."""
+    documents = table(spark, at, "documents").select("doc_id", "source", "text", "rating")
+    weight = F.when(F.col("rating").between(1, 5), F.col("rating")).otherwise(0.5)
+    return mix_sources(documents, "doc_id", "source", "text", weight, table(spark, at, "mix_targets"), counter=_count_words)
+
+
+_MIX = r"""
+WITH t AS (SELECT lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS source, target_share, max_repeats FROM mix_targets),
+d AS (SELECT doc_id, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS source, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS tokens,
+  -ln((('0x' || substr(md5(doc_id || ':3'), 1, 13))::UBIGINT::DOUBLE + 1) / 4503599627370496::DOUBLE) / CASE WHEN rating BETWEEN 1 AND 5 THEN rating ELSE 0.5::DOUBLE END AS draw
+  FROM documents WHERE lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) IN (SELECT source FROM t)),
+a AS (SELECT t.*, coalesce(n, 0) AS have FROM t LEFT JOIN (SELECT source, sum(tokens)::BIGINT AS n FROM d GROUP BY source) USING (source)),
+g AS (SELECT *, target_share * (SELECT min(max_repeats * have / target_share) FROM a WHERE target_share > 0 AND max_repeats > 0 AND have > 0) AS goal FROM a),
+b AS (SELECT *, CASE WHEN have > 0 THEN least(floor(least(goal, max_repeats * have) / have), max_repeats)::INTEGER ELSE 0 END AS epochs FROM g),
+r AS (SELECT *, CASE WHEN epochs < max_repeats THEN least(goal, max_repeats * have) - epochs * have ELSE 0 END AS rest FROM b),
+p AS (SELECT doc_id, source, tokens, epochs, rest, sum(tokens) OVER (PARTITION BY source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) AS until FROM d JOIN r USING (source)),
+m AS (SELECT doc_id, source, tokens::BIGINT AS tokens, epochs + CASE WHEN rest > 0 AND (until - tokens / 2 < rest OR until <= rest) THEN 1 ELSE 0 END AS copies FROM p)
+"""
+
+
+@query(_MIX + "SELECT doc_id, source, tokens, copies FROM m WHERE copies > 0")
+def p7_mix_in_words(spark: SparkSession, at: str) -> DataFrame:
+    return _mix_in_words(spark, at).rows.withColumnRenamed("key", "doc_id")
+
+
+@query(
+    _MIX + ", u AS (SELECT source, sum(tokens * copies)::BIGINT AS actual_tokens, count(*) AS documents FROM m WHERE copies > 0 GROUP BY source) "
+    "SELECT source, target_share, max_repeats, have AS available_tokens, goal AS target_tokens, coalesce(actual_tokens, 0) AS actual_tokens, "
+    "coalesce(documents, 0) AS documents, coalesce(actual_tokens, 0) / (SELECT sum(actual_tokens) FROM u) AS actual_share FROM r LEFT JOIN u USING (source)"
+)
+def p7_shares_in_words(spark: SparkSession, at: str) -> DataFrame:
+    return _mix_in_words(spark, at).shares
+
+
 _WINDOWS = "SELECT doc_id, n_chars, unnest(range(1, length(text) - 98)) AS i, text FROM documents WHERE length(text) >= 100"
 _SHARED = (
     f"SELECT w.doc_id, w.i FROM (SELECT doc_id, i, md5(substring(text, i, 100)) AS s FROM ({_WINDOWS})) w "

@@ -1,7 +1,10 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from bitnear.llm.mixing import budgets, mix_sources, quality_weight, token_counts
+from bitnear.llm.mixing import budgets, mix_sources, surprisals, token_ids
 
 SCHEMA = "doc_id bigint, source string, text string, rating int, tokens string"
 
@@ -20,7 +23,7 @@ def documents(spark):
 
 def mix(spark, documents, targets, total=None, **options):
     wanted = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    return mix_sources(documents, "doc_id", "source", "text", quality_weight("text", "rating"), wanted, total, counter=by_words, **options)
+    return mix_sources(documents, "doc_id", "source", "text", F.when(F.col("rating").between(1, 5), 1.0).otherwise(0.5), wanted, total, counter=by_words, **options)
 
 
 def test_budgets():
@@ -75,5 +78,28 @@ def test_edges(spark, documents):
 
 def test_tokens_of_a_public_tokenizer(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "a" * 20_000)], "id bigint, text string")
-    got = {r["id"]: r["tokens"] for r in token_counts(df, "text").collect()}
+    got = {r["id"]: r["tokens"] for r in token_ids(df, "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and 0 < got[5] < 20_000
+
+
+def test_surprisal_is_that_of_the_corpus_frequencies(spark):
+    lists = [[1, 1, 2], [], [2, 3, 3, 3], [7], None]
+    df = spark.createDataFrame([(i, x or []) for i, x in enumerate(lists)], "k bigint, ids array<int>")
+    every = [t for x in lists for t in x or []]
+    want = [sum(-math.log2(every.count(t) / len(every)) for t in x) / len(x) if x else None for x in lists]
+    got = [r["surprisal"] for r in surprisals(df).orderBy("k").collect()]
+    assert [x if x is None else round(x, 9) for x in got] == [x if x is None else round(x, 9) for x in want]
+
+
+def test_unusual_texts_are_taken_less_often(spark):
+    """Ordinary reviews, one phrase repeated, and broken encoding: of a quarter of the tokens the ordinary get more than their part."""
+    rng = random.Random(1)
+    words = ["the", "room", "was", "clean", "and", "food", "good", "staff", "we", "came", "late", "but", "liked", "it", "very", "much"]
+    own = [(i, "web", " ".join(rng.choices(words, k=40))) for i in range(300)]
+    own += [(1000 + i, "web", "buy now " * 20) for i in range(100)] + [(2000 + i, "web", "\u00c3\u00a9\u00e2\u20ac" * 20 + str(i)) for i in range(50)]
+    df = spark.createDataFrame(own, "id bigint, source string, text string")
+    wanted = spark.createDataFrame([("web", 1.0, 1)], "source string, target_share double, max_repeats int")
+    whole = mix_sources(df, "id", "source", "text", None, wanted).rows.collect()
+    taken = mix_sources(df, "id", "source", "text", None, wanted, sum(r["tokens"] for r in whole) / 4).rows.collect()
+    ordinary = lambda rows: sum(r["key"] < 1000 for r in rows) / len(rows)
+    assert len(whole) == len(own) and ordinary(taken) > ordinary(whole) + 0.05
