@@ -5,12 +5,11 @@ document. A wavelet matrix over its Burrows-Wheeler transform answers ranks; eve
 included, is kept as a sample, from which occurrences are located by walking back. Every run of `words` words of an
 evaluation text is searched, all of a block in step; the hits of a document and an item merge to spans.
 
-A shard is a part of a scan partition, of bounded size, so documents are not shuffled. The index is a table (one row a
-shard), which further evaluation sets can be searched in. Evaluation texts go to the executors in blocks of bounded size.
+A shard is a part of a scan partition, of bounded size, so documents are not shuffled. The index is a table with one row a
+shard, in columns that any reader of Parquet understands, which further evaluation sets can be searched in. Evaluation texts go to the executors in blocks of bounded size.
 Words are compared by 64-bit hashes.
 """
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,8 +30,13 @@ PIECE_WORDS = 100_000
 BLOCK_WORDS = 1_000_000
 #: Every how many places of a document one is sampled.
 SAMPLE_EVERY = 16
-#: Occurrences located at once.
+#: Occurrences located at once, and pairs of an occurrence and an item made at once.
 LOCATE_ROWS = 200_000
+#: The columns of the index. Bit vectors are little-endian words of 64 bits.
+INDEX = (
+    "alphabet array<bigint>, less array<bigint>, planes array<binary>, zeros array<bigint>, sampled binary, samples array<int>, "
+    "starts array<bigint>, doc_ids array<bigint>, offsets array<bigint>"
+)
 # Fixed value: what a word is.
 WORD = r"[\p{L}\p{N}]+"
 
@@ -45,12 +49,15 @@ def words_of(text: Column) -> Column:
 class Bits:
     """A bit vector with ranks."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        packed = np.packbits(np.concatenate([bits, np.zeros(64 + -len(bits) % 64, bool)]), bitorder="little")
-        self.words = packed.view("<u8")
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
         ones = np.bitwise_count(self.words).astype(np.int32)
         self.before = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.int32)
 
+    @classmethod
+    def of(cls, bits: np.ndarray) -> "Bits":
+        return cls(np.packbits(np.concatenate([bits, np.zeros(64 + -len(bits) % 64, bool)]), bitorder="little").view("<u8"))
+
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
         w = i >> 6
@@ -64,16 +71,19 @@ class Bits:
 class Wavelet:
     """A wavelet matrix: access and rank over integers, level by level from the highest bit."""
 
-    def __init__(self, values: np.ndarray, top: int) -> None:
-        self.levels, self.zeros = [], []
-        self.depth = max(1, int(top).bit_length())
-        for level in range(self.depth - 1, -1, -1):
+    def __init__(self, levels: list[Bits], zeros: list[int], top: int) -> None:
+        self.levels, self.zeros, self.depth = levels, zeros, len(levels)
+        self.base = self._down(np.arange(top + 1), np.zeros(top + 1, np.int64))
+
+    @classmethod
+    def of(cls, values: np.ndarray, top: int) -> "Wavelet":
+        levels, zeros = [], []
+        for level in range(max(1, int(top).bit_length()) - 1, -1, -1):
             bit = ((values >> level) & 1).astype(bool)
-            self.levels.append(Bits(bit))
-            self.zeros.append(int((~bit).sum()))
+            levels.append(Bits.of(bit))
+            zeros.append(int((~bit).sum()))
             values = np.concatenate([values[~bit], values[bit]])
-        symbols = np.arange(top + 1)
-        self.base = self._down(symbols, np.zeros(top + 1, np.int64))
+        return cls(levels, zeros, top)
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, level in enumerate(self.levels):
@@ -108,6 +118,21 @@ class Shard:
     doc_ids: np.ndarray
     offsets: np.ndarray
 
+    def row(self) -> pa.RecordBatch:
+        """The shard as a row of the index."""
+        numbers = {c: pa.array([getattr(self, c)]) for c in ("alphabet", "less", "samples", "starts", "doc_ids", "offsets")}
+        planes = pa.array([[x.words.tobytes() for x in self.wavelet.levels]], pa.list_(pa.binary()))
+        parts = numbers | {"planes": planes, "zeros": pa.array([self.wavelet.zeros], pa.list_(pa.int64())), "sampled": pa.array([self.sampled.words.tobytes()], pa.binary())}
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        return pa.RecordBatch.from_arrays([parts[c] for c in names], names)
+
+    @classmethod
+    def from_row(cls, b: pa.RecordBatch, i: int) -> "Shard":
+        alphabet, less, samples, starts, doc_ids, offsets = (np.asarray(b.column(c)[i].values) for c in ("alphabet", "less", "samples", "starts", "doc_ids", "offsets"))
+        bits = lambda x: Bits(np.frombuffer(x.as_buffer(), "<u8"))
+        wavelet = Wavelet([bits(x) for x in b.column("planes")[i]], b.column("zeros")[i].as_py(), len(alphabet))
+        return cls(alphabet, less, wavelet, bits(b.column("sampled")[i]), samples, starts, doc_ids, offsets)
+
 
 def build_shard(words: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> Shard:
     """Index pieces given by the words of all of them, their lengths, and the document and word they start at."""
@@ -125,27 +150,30 @@ def build_shard(words: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, off
     within = np.arange(n) - np.repeat(starts[:-1], lengths + 1)
     keep = (within % SAMPLE_EVERY == 0)[order]
     less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(alphabet) + 1))])
-    return Shard(alphabet, less, Wavelet(before, len(alphabet)), Bits(keep), order[keep].astype(np.int32), starts[:-1], doc_ids, offsets)
+    return Shard(alphabet, less, Wavelet.of(before, len(alphabet)), Bits.of(keep), order[keep].astype(np.int32), starts[:-1], doc_ids, offsets)
 
 
-def find(shard: Shard, phrases: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(phrase, place) of all occurrences of phrases (rows of word hashes), by backward search, in bounded portions."""
-    if not len(shard.alphabet) or not len(phrases):
+def find(shard: Shard, text: np.ndarray, starts: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrase, place) of all occurrences of the phrases of `words` words that start at the places of text, by backward
+    search, in bounded portions."""
+    if not len(shard.alphabet) or not len(starts):
         return
-    symbol = np.minimum(np.searchsorted(shard.alphabet, phrases), len(shard.alphabet) - 1)
-    which = np.flatnonzero((shard.alphabet[symbol] == phrases).all(axis=1))
-    symbol = symbol[which] + 1
-    last = symbol[:, -1]
+    every = np.minimum(np.searchsorted(shard.alphabet, text), len(shard.alphabet) - 1)
+    unknown = np.concatenate([[0], np.cumsum(shard.alphabet[every] != text)])
+    which = np.flatnonzero(unknown[starts + words] == unknown[starts])
+    every += 1
+    at = starts[which]
+    last = every[at + words - 1]
     low, high = shard.less[last], shard.less[last + 1]
-    for j in range(phrases.shape[1] - 2, -1, -1):
-        c = symbol[:, j]
+    for j in range(words - 2, -1, -1):
+        c = every[at + j]
         low, high = (shard.less[c] + shard.wavelet.rank(c, x) for x in (low, high))
         on = low < high
-        which, symbol, low, high = which[on], symbol[on], low[on], high[on]
+        which, at, low, high = which[on], at[on], low[on], high[on]
     ends = np.cumsum(high - low)
     total = int(ends[-1]) if len(ends) else 0
-    for at in range(0, total, LOCATE_ROWS):
-        i = np.arange(at, min(at + LOCATE_ROWS, total))
+    for first in range(0, total, LOCATE_ROWS):
+        i = np.arange(first, min(first + LOCATE_ROWS, total))
         p = np.searchsorted(ends, i, side="right")
         yield which[p], locate(shard, high[p] - (ends[p] - i))
 
@@ -176,7 +204,7 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def build_index(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """A table with one row per shard: (shard binary). Texts of fewer than `words` words, and null ones, can't match."""
+    """A table with one row per shard, see INDEX. Texts of fewer than `words` words, and null ones, can't match."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -184,8 +212,7 @@ def build_index(documents: DataFrame, key: str, text: str, words: int) -> DataFr
 
         def out() -> pa.RecordBatch:
             ids, starts, flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-            blob = pickle.dumps(build_shard(flat, lengths, ids, starts), protocol=5)
-            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["shard"])
+            return build_shard(flat, lengths, ids, starts).row()
 
         for b in batches:
             ids, starts, flat, lengths = _flat(b)
@@ -202,7 +229,7 @@ def build_index(documents: DataFrame, key: str, text: str, words: int) -> DataFr
         if parts:
             yield out()
 
-    return pieces(spread(documents.select(key, text)), key, text, words).mapInArrow(build, "shard binary")
+    return pieces(spread(documents.select(key, text)), key, text, words).mapInArrow(build, INDEX)
 
 
 def merge_spans(doc: np.ndarray, item: np.ndarray, start: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
@@ -216,10 +243,33 @@ def merge_spans(doc: np.ndarray, item: np.ndarray, start: np.ndarray, words: int
     return doc[first], item[first], start[first], start[last] + words
 
 
+def phrases_of(keys: np.ndarray, text: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(starts, first owner of each, owners): the different phrases of pieces that lie one after the other in text.
+
+    Equal phrases are searched once; owners[first[p] : first[p + 1]] are the keys of all pieces that have phrase p.
+    """
+    windows = lengths - words + 1
+    at = np.arange(int(windows.sum())) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows)
+    phrases = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, words)[at])
+    _, one, same = np.unique(phrases.view(f"V{8 * words}").ravel(), return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([same, np.repeat(keys, windows)]), axis=1)
+    return at[one], np.searchsorted(pairs[0], np.arange(len(one) + 1)), pairs[1]
+
+
+def portions(many: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows that stand for many[i] each, of about `most` in all, or one row."""
+    ends, at = np.cumsum(many), 0
+    while at < len(many):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 def search_index(index: DataFrame, items: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(doc_id, item_id, first, last): spans of words of a document, last exclusive, that also stand in an item.
 
-    Spans of one document and item that overlap are merged, except where a very long document was cut into pieces.
+    Spans of one document and item that overlap or touch are merged.
     """
     spark = items.sparkSession
     work = Workspace(spark, "evaluation")
@@ -234,34 +284,36 @@ def search_index(index: DataFrame, items: DataFrame, key: str, text: str, words:
         if not parts:
             continue
         keys, _, flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-        shared = spark.sparkContext.broadcast((keys, flat, lengths))
+        shared = spark.sparkContext.broadcast((flat, *phrases_of(keys, flat, lengths, words)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, flat, lengths = shared.value
-            ends = np.cumsum(lengths)
-            windows = lengths - words + 1
-            at = np.arange(int(windows.sum())) + np.repeat(ends - lengths - (np.cumsum(windows) - windows), windows)
-            phrases = np.lib.stride_tricks.sliding_window_view(flat, words)[at]
-            # equal phrases are searched once; `owner` then names all items that have them
-            _, one, same = np.unique(np.ascontiguousarray(phrases).view(f"V{8 * words}").ravel(), return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([same, np.repeat(keys, windows)]), axis=1)
-            owner_from = np.searchsorted(pairs[0], np.arange(len(one) + 1))
-            phrases = phrases[one]
+            flat, starts, owner_from, owners = shared.value
             for b in batches:
-                for blob in b.column("shard"):
-                    shard = pickle.loads(blob.as_py())
-                    for phrase, place in find(shard, phrases):
+                for i in range(b.num_rows):
+                    shard = Shard.from_row(b, i)
+                    for phrase, place in find(shard, flat, starts, words):
                         piece = np.searchsorted(shard.starts, place, side="right") - 1
+                        doc, start = shard.doc_ids[piece], place - shard.starts[piece] + shard.offsets[piece]
                         many = owner_from[phrase + 1] - owner_from[phrase]
-                        row = np.repeat(np.arange(len(phrase)), many)
-                        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                        item = pairs[1][owner_from[phrase[row]] + nth]
-                        start = (place - shard.starts[piece] + shard.offsets[piece])[row]
-                        columns = merge_spans(shard.doc_ids[piece][row], item, start, words)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "item_id", "first", "last"])
+                        for s in portions(many, LOCATE_ROWS):
+                            row = np.repeat(np.arange(s.start, s.stop), many[s])
+                            nth = np.arange(len(row)) - np.repeat(np.cumsum(many[s]) - many[s], many[s])
+                            columns = merge_spans(doc[row], owners[owner_from[phrase[row]] + nth], start[row], words)
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "item_id", "first", "last"])
 
         found.append(index.mapInArrow(search, schema))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return _joined(work.write(reduce(DataFrame.unionAll, found), "spans"), ["doc_id", "item_id"])
+
+
+def _joined(spans: DataFrame, by: list[str], *also: Column) -> DataFrame:
+    """(by, first, last, also): the spans of a group merged where they overlap or touch. also: further aggregates."""
+    order = Window.partitionBy(*by).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", (reach.isNull() | (F.col("first") > reach)).cast("int"))
+    merged = marked.withColumn("span", F.sum("new").over(order)).groupBy(*by, "span")
+    return merged.agg(F.min("first").alias("first"), F.max("last").alias("last"), *also).drop("span")
 
 
 def leaked_spans(
@@ -280,12 +332,4 @@ def leaked_spans(
 
 def removal_spans(spans: DataFrame) -> DataFrame:
     """(doc_id, first, last, items): the union of a document's spans over all items, and how many items it takes in."""
-    order = Window.partitionBy("doc_id").orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.distinct().withColumn("new", (reach.isNull() | (F.col("first") > reach)).cast("int"))
-    return (
-        marked.withColumn("span", F.sum("new").over(order))
-        .groupBy("doc_id", "span")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.countDistinct("item_id").alias("items"))
-        .drop("span")
-    )
+    return _joined(spans, ["doc_id"], F.countDistinct("item_id").alias("items"))

@@ -102,7 +102,7 @@ def _leaks(spark: SparkSession, at: str) -> DataFrame:
 
 
 _RUNS = (
-    "SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS run "
+    "SELECT {key}, unnest(range(0, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS run "
     "FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 12"
 )
 
@@ -112,7 +112,11 @@ def p6_found(spark: SparkSession, at: str) -> DataFrame:
     return _leaks(spark, at).select("doc_id", "item_id").distinct()
 
 
-@query()
+@query(
+    f"SELECT doc_id, min(i) AS first, max(i) + 12 AS last, count(DISTINCT item_id) AS items FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i, item_id) AS span "
+    f"FROM (SELECT doc_id, item_id, d.i, coalesce((d.i > lag(d.i) OVER (PARTITION BY doc_id ORDER BY d.i, item_id) + 12)::INTEGER, 1) AS new "
+    f"FROM ({_RUNS.format(key='doc_id', table='documents')}) d JOIN (SELECT DISTINCT item_id, run FROM ({_RUNS.format(key='item_id', table='eval_items')})) USING (run))) GROUP BY doc_id, span"
+)
 def p6_removal_spans(spark: SparkSession, at: str) -> DataFrame:
     return removal_spans(_leaks(spark, at))
 

@@ -5,7 +5,7 @@ import pytest
 import regex
 
 from bitnear.llm import fm_index
-from bitnear.llm.fm_index import Bits, Wavelet, build_shard, find, leaked_spans, merge_spans, removal_spans
+from bitnear.llm.fm_index import Bits, Shard, Wavelet, build_shard, find, leaked_spans, merge_spans, phrases_of, portions, removal_spans
 from bitnear.llm.suffixes import suffix_ranks, window_order
 
 
@@ -17,10 +17,10 @@ def test_bits_and_wavelet():
     rng = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 65, 1000):
         own = rng.random(n) < 0.4
-        b, i = Bits(own), np.arange(n + 1)
+        b, i = Bits.of(own), np.arange(n + 1)
         assert (b.rank(i) == np.concatenate([[0], np.cumsum(own)])).all() and (b.get(i[:n]) == own).all()
     values = rng.integers(0, 37, 500)
-    w = Wavelet(values, 40)
+    w = Wavelet.of(values, 40)
     for s in (0, 5, 36, 40):
         assert (w.rank(np.full(501, s), np.arange(501)) == np.concatenate([[0], np.cumsum(values == s)])).all()
     symbol, rank = w.symbol_and_rank(np.arange(500))
@@ -54,7 +54,8 @@ def test_search_and_locate():
     lengths = np.array([len(d) for d in docs])
     shard = build_shard(np.concatenate(docs), lengths, np.arange(len(docs)), np.zeros(len(docs), np.int64))
     phrases = np.array([docs[4][10:14], docs[5][-4:], [2, 2, 2, 2], [0, 1, 9, 1], docs[3][:4]])
-    got = sorted((int(p), int(at)) for a, b in find(shard, phrases) for p, at in zip(a, b, strict=True))
+    shard = Shard.from_row(shard.row(), 0)
+    got = sorted((int(p), int(at)) for a, b in find(shard, phrases.ravel(), np.arange(0, phrases.size, 4), 4) for p, at in zip(a, b, strict=True))
     want = sorted((p, int(shard.starts[d]) + i) for p, x in enumerate(phrases) for d, own in enumerate(docs) for i in range(len(own) - 3) if (own[i : i + 4] == x).all())
     assert got == want
 
@@ -64,6 +65,19 @@ def test_merging():
     assert [x.tolist() for x in merge_spans(doc, item, start, 4)] == [[1, 1, 2], [7, 8, 7], [0, 1, 1], [9, 5, 5]]
 
 
+def test_equal_phrases_have_all_their_owners():
+    text, lengths = np.array([1, 2, 3, 4, 2, 3, 4, 2, 3]), np.array([4, 3, 2])
+    starts, first, owners = phrases_of(np.array([10, 20, 30]), text, lengths, 2)
+    got = {tuple(text[s : s + 2]): owners[first[i] : first[i + 1]].tolist() for i, s in enumerate(starts)}
+    assert got == {(1, 2): [10], (2, 3): [10, 20, 30], (3, 4): [10, 20]}
+
+
+def test_portions_are_bounded():
+    many = np.array([3, 1, 9, 1, 1, 1, 2])
+    assert [many[s].tolist() for s in portions(many, 4)] == [[3, 1], [9], [1, 1, 1], [2]]
+    assert list(portions(many[:0], 4)) == []
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_same_as_brute_force(spark, rows, monkeypatch, small):
     if small:  # many shards, pieces and blocks
@@ -90,6 +104,8 @@ def test_same_as_brute_force(spark, rows, monkeypatch, small):
     assert rows(spans.select("doc_id", "item_id").distinct()) == want
     bodies = {d: words(u or "") for d, u in docs}
     hits = {(d, i, at) for i, t in items for d, u in docs for at, x in enumerate(run(u)) if x in set(run(t))}
+    own = rows(spans)
+    assert all(x[:2] != y[:2] or x[3] < y[2] or y[3] < x[2] for x in own for y in own if x != y)  # merged, across pieces and portions too
     covered = {(d, i, at) for d, i, a, b in rows(spans) for at in range(a, b - 7)}
     assert covered == hits and all(b <= len(bodies[d]) for d, _, _, b in rows(spans))
     merged = rows(removal_spans(spans).select("doc_id", "first", "last"))
