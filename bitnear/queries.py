@@ -15,7 +15,7 @@ from bitnear.operators.skew import per_key_join, skew_join
 from bitnear.plans.selectivity import model_selectivity
 from bitnear.plans.shape import search_report
 from bitnear.runtime import Workspace
-from bitnear.sources.hashes import append, content_hash, embedding_hash, random_hashes, read_hash_lines, targets
+from bitnear.sources.hashes import append, append_numbered, content_hash, embedding_hash, random_hashes, read_hash_lines, statistics, targets
 from bitnear.streaming.search import stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,3 +402,22 @@ def bitstring_equality(spark: SparkSession, at: str) -> DataFrame:
 def search_plan_report(spark: SparkSession, at: str) -> DataFrame:
     wanted = [100, 200]
     return search_report(batch_search(stored(spark, at), "hash", wanted, 3, key="id"), wanted, 3)
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY batch, a NULLS FIRST) AS id, a FROM (SELECT a, 0 AS batch FROM int8tmp_2 UNION ALL SELECT center, 1 FROM bktree_area)"
+)
+def numbered_rows(spark: SparkSession, at: str) -> DataFrame:
+    """A table with a serial key that is filled twice."""
+    path = f"{Workspace(spark, 'serial').path}/rows"
+    for rows in (table(spark, at, "int8tmp_2"), table(spark, at, "bktree_area").select(F.col("center").alias("a"))):
+        append_numbered(rows, path, ["a"])
+    return spark.read.schema("id bigint, a bigint").parquet(path)
+
+
+@query(
+    "SELECT count(*) AS rows, count(*) - count(hash) AS nulls, count(DISTINCT hash) AS hashes, (SELECT max(n) FROM (SELECT count(*) AS n FROM test_batch_join "
+    "WHERE hash IS NOT NULL GROUP BY hash)) AS heaviest FROM test_batch_join"
+)
+def hash_statistics(spark: SparkSession, at: str) -> DataFrame:
+    return statistics(table(spark, at, "test_batch_join"), "hash")

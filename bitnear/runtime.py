@@ -39,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
         _MADE.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -47,6 +48,7 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.path}/{name}")
+        self.written.add(name)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
@@ -58,6 +60,12 @@ class Workspace:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.written = self.written - {name} if name else set()
+
+    def keep_only(self, *names: str) -> None:
+        """Remove all tables written but these, which results that are not yet computed still read."""
+        for name in self.written - set(names):
+            self.drop(name)
 
 
 def clear() -> None:

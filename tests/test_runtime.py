@@ -17,6 +17,9 @@ def test_tables_lie_in_the_shared_folder_until_cleared(spark, rows):
     at = work.path.removeprefix("file://")
     work.drop("t")
     assert not os.path.exists(f"{at}/t") and os.path.exists(f"{at}/parts")
+    work.write(spark.range(1), "u")
+    work.keep_only("u")
+    assert os.path.exists(f"{at}/u") and not os.path.exists(f"{at}/parts") and work.written == {"u"}
     clear()
     assert not os.path.exists(at) and not runtime._MADE
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitnear import append_pivot_layout, ball_filter, batch_search, choose_pivots, nearest, pivot_ball_filter, similarity_join, write_pivot_layout
 from bitnear.plans import selectivity
 from bitnear.plans.shape import operators, physical_plan, search_report
-from bitnear.sources.hashes import append, random_hashes, read_hash_lines, targets
+from bitnear.sources.hashes import append, append_numbered, drop, exists, random_hashes, read_hash_lines, statistics, targets
 from bitnear.streaming.search import stream_search
 
 
@@ -243,3 +243,18 @@ def test_integer_range_predicates(spark):
     df = spark.range(10).withColumnRenamed("id", "a")
     a = F.col("a")
     assert [df.where(x).count() for x in (a < 7, a > 7, a <= 7, a >= 7, a == 7)] == [7, 2, 8, 3, 1]
+
+
+def test_serial_keys_go_on(spark, rows, tmp_path):
+    path = f"{tmp_path}/serial"
+    append_numbered(spark.createDataFrame([(5, "x"), (None, "y"), (3, "z"), (5, "x")], "a bigint, id string"), path, ["a"])
+    append_numbered(spark.createDataFrame([(1,), (0,)], "a bigint"), path, ["a"])
+    append_numbered(spark.createDataFrame([], "a bigint"), path, ["a"])
+    assert rows(spark.read.parquet(path)) == [(1, None), (2, 3), (3, 5), (4, 5), (5, 0), (6, 1)]
+    assert exists(spark, path) and drop(spark, path) and not exists(spark, path) and not drop(spark, path)
+
+
+def test_statistics(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (None,)], "h bigint")
+    assert tuple(statistics(df, "h").first()) == (6, 3, 2, 2)
+    assert tuple(statistics(df.where("false"), "h").first()) == (0, 0, 0, 0)
