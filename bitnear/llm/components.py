@@ -132,7 +132,9 @@ def _linked_groups(pairs: DataFrame, x: str, y: str) -> DataFrame:
         up = roots.select(F.col("vertex").alias("center"), F.col("center").alias("root"))
         roots = work.write(levels[i].join(up, "center", "left").select("vertex", F.coalesce("root", "center").alias("center")), f"roots-{i}")
     least = roots.groupBy("center").agg(F.min("vertex").alias("group"))
-    return work.write(roots.join(work.write(least, "least"), "center").select("vertex", "group"), "groups")
+    groups = work.write(roots.join(work.write(least, "least"), "center").select("vertex", "group"), "groups")
+    work.keep_only("groups")
+    return groups
 
 
 def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:

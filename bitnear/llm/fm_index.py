@@ -304,7 +304,9 @@ def search_index(index: DataFrame, items: DataFrame, key: str, text: str, words:
         found.append(index.mapInArrow(search, schema))
     if not found:
         return spark.createDataFrame([], schema)
-    return _joined(work.write(reduce(DataFrame.unionAll, found), "spans"), ["doc_id", "item_id"])
+    spans = work.write(reduce(DataFrame.unionAll, found), "spans")
+    work.keep_only("spans")
+    return _joined(spans, ["doc_id", "item_id"])
 
 
 def _joined(spans: DataFrame, by: list[str], *also: Column) -> DataFrame:
@@ -327,7 +329,9 @@ def leaked_spans(
     """
     work = Workspace(documents.sparkSession, "fm-index")
     index = work.write(build_index(documents, doc_key, doc_text, words), "shards")
-    return search_index(index, items, item_key, item_text, words)
+    found = search_index(index, items, item_key, item_text, words)
+    work.drop("shards")
+    return found
 
 
 def removal_spans(spans: DataFrame) -> DataFrame:

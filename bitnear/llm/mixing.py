@@ -189,6 +189,7 @@ def mix_sources(
     columns = ["key", "source", "tokens", "copies"]
     used = work.write(other.select(*columns).unionByName(split.select(*columns)).where(F.col("copies") > 0), "used")
 
+    work.keep_only("used")
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents"))
     shares = spark.createDataFrame(
         [(s, share, repeats, have, goal) for s, share, repeats, have, goal, _, _ in plan],

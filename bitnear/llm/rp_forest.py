@@ -318,8 +318,7 @@ def nearest_in_balls(
     every = near.join(several, "hash", "left").withColumn("id", F.explode(F.concat(F.array("id"), F.coalesce("more", F.array().cast("array<bigint>")))))
     best = every.withColumn("place", F.row_number().over(ranks)).where(F.col("place") <= k)
     best = work.write(best.select("center", "distance", "id", "hamming_distance"), "nearest")
-    for name in ("hashes", "balls", "near"):
-        work.drop(name)
+    work.keep_only("nearest")
     return best
 
 

@@ -238,6 +238,7 @@ def shared_spans(documents: DataFrame, key: str, text: str, span: int = 100) ->
     single = leaves.join(met, "leaf", "left_semi").select("prefix", "segment_id", "first", F.col("first").alias("last"))
 
     spans = work.write(direct.unionByName(usual).unionByName(single), "spans").withColumnRenamed("first", "from").withColumnRenamed("last", "to")
+    work.keep_only("segments", "spans")
     placed = segments.join(spans, ["segment_id", "prefix"])
     return placed.select("key", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to") + span).alias("last"))
 

@@ -71,6 +71,7 @@ def top_in_groups(rows: DataFrame, group: str, n: int, badness: Column, order: l
             below = banded.where(F.col("__band") > b).select(group).distinct()  # a row a group and task is moved
             if below.join(full, group, "left_anti").isEmpty():
                 break
+    work.keep_only(*[f"picked-{b}" for b in range(len(borders) + 1)])
     # a group filled across a border has n rows or more of several bands here, in small number
     last = taken.withColumn("__place", F.row_number().over(ranks)).where(F.col("__place") <= n)
     return last.select(*columns)
