@@ -138,7 +138,8 @@ def _block_pairs(x: DataFrame, y: DataFrame, distance: int, blocks: int) -> Data
     y = y.select("__b", "__d", F.inline(selectivity.parts(F.col("__b"), blocks)))
     if flips:
         y = y.withColumn("part", F.explode(selectivity.probes(F.col("band"), F.col("part"), blocks, flips)))
-    y = y.select("__b", "__d", F.col("band").alias("__band"), F.col("part").alias("__part"))
+    # exploded, y may be hundreds of times as large as Spark takes it to be, so that no choice is left to it
+    y = y.select("__b", "__d", F.col("band").alias("__band"), F.col("part").alias("__part")).hint("merge")
     differ = F.col("__a").bitwiseXOR(F.col("__b"))
     first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(m))) <= flips, F.lit(i)) for i, m in enumerate(selectivity.bit_blocks(blocks))])
     on = (F.col("band") == F.col("__band")) & (F.col("part") == F.col("__part"))
@@ -163,5 +164,5 @@ def _pivot_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame:
     away = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lit(pivot))).cast("bigint")
     x = x.withColumn("__from", away("__a"))
     reach = F.sequence(F.greatest(away("__b") - F.col("__d"), F.lit(0)), F.least(away("__b") + F.col("__d"), F.lit(64)))
-    y = y.withColumn("__to", F.explode(reach))
+    y = y.withColumn("__to", F.explode(reach)).hint("merge")  # Spark doesn't see that explode made it larger
     return x.join(y, (F.col("__from") == F.col("__to")) & within("__a", "__b", F.col("__d"))).select("__a", "__b", "__d")

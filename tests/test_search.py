@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ def test_no_join_broadcasts_a_large_side_whole(spark, monkeypatch, how):
     assert "Broadcast" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("strategy, distance", [("bands", 8), ("bands", "d"), ("pivot", 8)])
+def test_no_join_broadcasts_what_explode_made_large(spark, tmp_path, strategy, distance):
+    """The table of balls is small, but not once its probes are made."""
+    random_hashes(spark, 5000).write.parquet(f"{tmp_path}/rows")
+    random_hashes(spark, 100, 2).selectExpr("hash AS other", "id % 9 AS d").write.parquet(f"{tmp_path}/balls")
+    left, right = spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/balls")
+    joined = similarity_join(left, right, "hash", "other", distance, strategy=strategy)
+    plan = joined._jdf.queryExecution().optimizedPlan()
+    assert "strategy=merge" in plan.toString()
+    assert not re.search(r"BroadcastExchange(?:(?!Exchange).)*Generate explode", physical_plan(joined), re.DOTALL)
+
+
 @pytest.mark.parametrize("distance, blocks", [(0, 1), (3, 4), (4, 5), (7, 4), (8, 5), (12, 5), (16, 6), (30, None), (64, None), (-1, None)])
 def test_blocks_for_a_distance(distance, blocks):
     assert selectivity.band_plan(distance) == blocks
