@@ -13,8 +13,8 @@ from bitnear.plans import selectivity
 LEFT = ("left", "left_outer", "left_semi", "semi", "left_anti", "anti")
 RIGHT = ("right", "right_outer")
 FULL = ("full", "full_outer", "outer")
-#: Widest distance of each class of balls that are searched together where each row has its own distance.
-CLASSES = (0, 3, 5, 8, 12)
+#: Widest distance that is searched by blocks where each row has its own distance.
+WIDEST = 12
 
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -118,32 +118,37 @@ def _assemble(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: st
 
 
 def _scan_pairs(x: DataFrame, y: DataFrame, distance: int | None = None) -> DataFrame:
-    """Everything compared; the side with fewer hashes is broadcast in blocks of BROADCAST_ROWS (24 bytes a row)."""
+    """Everything compared; the side with fewer hashes is broadcast in blocks of BROADCAST_ROWS (24 bytes a row). Further columns of x are carried."""
+    columns = x.columns
     on = within("__a", "__b", F.col("__d"))
     most = selectivity.BROADCAST_ROWS
     for small, other in ((y, x), (x, y)):
         if selectivity.few_rows(small, most) is not None:
-            return other.join(F.broadcast(small), on).select("__a", "__b", "__d")
+            return other.join(F.broadcast(small), on).select(*columns, "__b", "__d")
     n, m = x.count(), y.count()
     small, other = (x, y) if n < m else (y, x)
     blocks = -(-min(n, m) // most) * 2  # half full on average, so that uneven blocks fit too
     block = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
-    return reduce(DataFrame.unionAll, [other.join(F.broadcast(small.where(block == i)), on).select("__a", "__b", "__d") for i in range(blocks)])
+    return reduce(DataFrame.unionAll, [other.join(F.broadcast(small.where(block == i)), on).select(*columns, "__b", "__d") for i in range(blocks)])
 
 
-def _block_pairs(x: DataFrame, y: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Pairs within each y's own distance, which is `distance` at most. A pair is kept in the first block where it meets."""
-    flips = distance // blocks
-    x = x.select("__a", F.inline(selectivity.parts(F.col("__a"), blocks)))
+def _block_pairs(x: DataFrame, y: DataFrame, most: int, blocks: int) -> DataFrame:
+    """Pairs within each y's own distance, which is `most` at most. A pair is kept in the first block where it meets.
+
+    Of a distance d, block i bears (d - i) // blocks flipped bits, and is left out where that is negative: as these numbers,
+    each with one added, make up d + 1, a pair within d keeps to one of them at least. Further columns of x are carried.
+    """
+    columns, d = x.columns, F.col("__d")
+    x = x.select("*", F.inline(selectivity.parts(F.col("__a"), blocks)))
     y = y.select("__b", "__d", F.inline(selectivity.parts(F.col("__b"), blocks)))
-    if flips:
-        y = y.withColumn("part", F.explode(selectivity.probes(F.col("band"), F.col("part"), blocks, flips)))
+    y = y.withColumn("part", F.explode(selectivity.own_probes(d, F.col("band"), F.col("part"), blocks, most)))
     # exploded, y may be hundreds of times as large as Spark takes it to be, so that no choice is left to it
     y = y.select("__b", "__d", F.col("band").alias("__band"), F.col("part").alias("__part")).hint("merge")
     differ = F.col("__a").bitwiseXOR(F.col("__b"))
-    first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(m))) <= flips, F.lit(i)) for i, m in enumerate(selectivity.bit_blocks(blocks))])
+    meets = [F.bit_count(differ.bitwiseAND(F.lit(m))) * blocks <= d - i for i, m in enumerate(selectivity.bit_blocks(blocks))]
+    first = F.coalesce(*[F.when(met, F.lit(i)) for i, met in enumerate(meets)])
     on = (F.col("band") == F.col("__band")) & (F.col("part") == F.col("__part"))
-    return x.join(y, on & within("__a", "__b", F.col("__d")) & (first == F.col("band"))).select("__a", "__b", "__d")
+    return x.join(y, on & within("__a", "__b", d) & (first == F.col("band"))).select(*columns, "__b", "__d")
 
 
 def _banded_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame:
@@ -151,11 +156,35 @@ def _banded_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame
     if distance is not None:
         blocks = selectivity.band_plan(min(distance, 64))
         return _block_pairs(x, y, distance, blocks) if blocks else _scan_pairs(x, y)
-    out, low = [], -1
-    for most in CLASSES:
-        out.append(_block_pairs(x, y.where((F.col("__d") > low) & (F.col("__d") <= most)), most, selectivity.band_plan(most) or 1))
-        low = most
-    return reduce(DataFrame.unionAll, [*out, _scan_pairs(x, y.where(F.col("__d") > low))])
+    return reduce(DataFrame.unionAll, [*_class_pairs(x, y, selectivity.TYPICAL_ROWS), _scan_pairs(x, y.where(F.col("__d") > WIDEST))])
+
+
+def _class_pairs(x: DataFrame, y: DataFrame, rows: int) -> list[DataFrame]:
+    """The pairs of all distances up to WIDEST, in classes chosen for how many y have each of them."""
+    counts = y.where(F.col("__d") <= WIDEST).groupBy("__d").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a distance
+    plan = selectivity.class_plan({r["__d"]: r["n"] for r in counts}, rows)
+    return [_block_pairs(x, y.where(F.col("__d").between(low, most)), most, blocks) for low, most, blocks in plan]
+
+
+def ball_counts(rows: DataFrame, hash_column: str, balls: DataFrame, center: str, distance: str) -> DataFrame:
+    """(center, distance, matches): for each different ball how many rows have a hash in it, where any has.
+
+    Distances of 64 or more come out as 64. Such balls hold every non-null hash, which is one number for all of them, and
+    no pairs are made for them. Equal hashes are compared once. Balls with a null or a negative distance or a null centre
+    don't come out. Balls up to WIDEST are searched by blocks, those between by comparing everything, and each task adds
+    up what it finds before anything is moved.
+    """
+    seen = rows.agg(F.count(hash_column).alias("all"), F.approx_count_distinct(hash_column).alias("hashes")).first()
+    x = rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("__a")).agg(F.count(F.lit(1)).alias("__n"))
+    y = balls.select(F.col(center).cast("bigint").alias("__b"), _at_most_64(F.col(distance)).alias("__d"))
+    y = y.where(F.col("__b").isNotNull() & (F.col("__d") >= 0)).distinct()
+    found = [y.where(F.col("__d") == 64).select("__b", "__d", F.lit(seen["all"]).cast("bigint").alias("matches")).where("matches > 0")]
+    middle = y.where((F.col("__d") > WIDEST) & (F.col("__d") < 64))
+    pairs = _class_pairs(x, y, seen["hashes"])
+    if not middle.isEmpty():
+        pairs.append(_scan_pairs(x, middle))
+    found += [p.groupBy("__b", "__d").agg(F.sum("__n").alias("matches")) for p in pairs]
+    return reduce(DataFrame.unionAll, found).select(F.col("__b").alias("center"), F.col("__d").alias("distance"), "matches")
 
 
 def _pivot_pairs(x: DataFrame, y: DataFrame, distance: int | None) -> DataFrame:

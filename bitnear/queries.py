@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bitnear.functions.bits import area, equal_bits, from_bitstring, hamming, to_bitstring, within, within_area
 from bitnear.functions.sql import register, register_search
 from bitnear.operators.ball import ball_filter, nearest
-from bitnear.operators.join import similarity_join
+from bitnear.operators.join import ball_counts, similarity_join
 from bitnear.operators.pivot import append_pivot_layout, pivot_ball_filter, write_pivot_layout
 from bitnear.operators.search import batch_search
 from bitnear.operators.skew import per_key_join, skew_join
@@ -163,11 +163,11 @@ def batch_join_extra_predicate(spark: SparkSession, at: str) -> DataFrame:
     f"WHERE hash IS NOT NULL GROUP BY hash) ON {_IN.format('hash', 'center', 'distance')} GROUP BY area_id"
 )
 def batch_join_per_row_distance(spark: SparkSession, at: str) -> DataFrame:
-    """All balls, wide and empty ones too; equal hashes are compared once."""
-    hashes = stored(spark, at).where(F.col("hash").isNotNull()).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    """All balls, wide and empty ones too; equal hashes are compared once, and equal balls searched once."""
     balls = table(spark, at, "bktree_area")
-    found = similarity_join(hashes, balls, "hash", "center", "distance").groupBy("area_id").agg(F.sum("n").alias("matches"))
-    return balls.select("area_id").join(found, "area_id", "left").select("area_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+    found = ball_counts(stored(spark, at), "hash", balls, "center", "distance").withColumnRenamed("distance", "most")
+    balls = balls.withColumn("most", F.least("distance", F.lit(64)))
+    return balls.join(found, ["center", "most"], "left").select("area_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 @query(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitnear import append_pivot_layout, ball_filter, batch_search, choose_pivots, nearest, pivot_ball_filter, similarity_join, write_pivot_layout
+from bitnear.operators.join import ball_counts
 from bitnear.plans import selectivity
 from bitnear.plans.shape import operators, physical_plan, search_report
 from bitnear.sources.hashes import append, append_numbered, drop, exists, random_hashes, read_hash_lines, statistics, targets
@@ -84,6 +85,24 @@ def test_no_join_broadcasts_a_large_side_whole(spark, monkeypatch, how):
     assert "Broadcast" not in plan and "Cartesian" not in plan
 
 
+def test_ball_counts_make_no_pairs_for_balls_that_hold_everything(spark, rows):
+    rng = random.Random(5)
+    hashes = [*skewed(rng), 1 << 62, -1]
+    balls = [(h, d) for h in hashes[::9] for d in (-1, 0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 40, 63, 64, 2**63 - 1, None)] + [(7, 3)]
+    balls = spark.createDataFrame(balls, "c bigint, d bigint")
+    want = {}
+    for c, d in {tuple(b) for b in balls.collect()}:
+        if c is not None and d is not None and (n := sum(h is not None and bits(h, c) <= d for h in hashes)):
+            want[c, min(d, 64)] = n
+    table = spark.createDataFrame([(h,) for h in hashes], "h bigint")
+    assert rows(ball_counts(table, "h", balls, "c", "d")) == sorted(((*k, n) for k, n in want.items()), key=repr)
+    for few in ("d = 0", "d BETWEEN 6 AND 7", "d = 12", "d < 0"):
+        own = {tuple(b) for b in balls.where(few).collect()}
+        assert rows(ball_counts(table, "h", balls.where(few), "c", "d")) == sorted(((*k, n) for k, n in want.items() if k in own), key=repr)
+    plan = physical_plan(ball_counts(table, "h", balls.where("d > 63"), "c", "d"))
+    assert "Join" not in plan
+
+
 @pytest.mark.parametrize("strategy, distance", [("bands", 8), ("bands", "d"), ("pivot", 8)])
 def test_no_join_broadcasts_what_explode_made_large(spark, tmp_path, strategy, distance):
     """The table of balls is small, but not once its probes are made."""
