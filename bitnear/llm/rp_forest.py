@@ -307,7 +307,8 @@ def nearest_in_balls(
     probes = wanted.repartition(slots(spark)).mapInArrow(search, "center bigint, distance bigint, cell bigint")
     entries = distinct.select("hash", "id").mapInArrow(assign, "hash bigint, id bigint, cell bigint")
     d = F.bit_count(F.col("hash").bitwiseXOR(F.col("center"))).cast("bigint")
-    found = probes.join(entries, (probes["cell"] == entries["cell"]) & (d <= F.col("distance")))
+    # a ball has hundreds of probes, which Spark takes to be one and might broadcast
+    found = probes.hint("merge").join(entries, (probes["cell"] == entries["cell"]) & (d <= F.col("distance")))
     found = found.select("center", "distance", d.alias("hamming_distance"), "hash", "id")
     # k hashes by their least ids have the k rows wanted among theirs. A hash met in several trees has the same rank each
     # time; the limit per group comes before the shuffle

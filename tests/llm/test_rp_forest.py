@@ -5,7 +5,7 @@ import pytest
 
 from bitnear.llm import rp_forest
 from bitnear.llm.rp_forest import cells, cells_popped, choose_trees, fit_below, fit_forest, fit_levels, nearest_by_area, nearest_in_balls, pop_all
-
+from bitnear.plans.shape import physical_plan
 
 
 def bits(a, b):
@@ -81,6 +81,17 @@ def test_many_rows_may_name_one_ball(spark, rows):
     assert rows(nearest_by_area(left, "id", "center", "ball", right, "hash", "id", 4)) == sorted(want, key=repr)
 
 
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the probes to be as few as the balls, which are few enough to broadcast."""
+    plans, write = {}, rp_forest.Workspace.write
+    monkeypatch.setattr(rp_forest.Workspace, "write", lambda self, df, name: plans.update({name: physical_plan(df)}) or write(self, df, name))
+    rng = random.Random(6)
+    right = spark.createDataFrame([(i, rng.getrandbits(62)) for i in range(300)], "id bigint, hash bigint")
+    left = spark.createDataFrame([(i, 6) for i in range(9)], "c bigint, d bigint")
+    nearest_in_balls(left, "c", "d", right, "hash", "id", 5)
+    assert "SortMergeJoin" in plans["near"] and "Broadcast" not in plans["near"]
+
+
 def test_levels_part_rows_that_earlier_ones_left_together():
     rng = np.random.default_rng(2)
     same = rng.integers(0, 2, 200)
